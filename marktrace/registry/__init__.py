@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["edges"]
+FAMILIES = ["edges", "scalars"]
 
 
 def load():

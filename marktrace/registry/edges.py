@@ -194,7 +194,7 @@ def w9(spark, sf):
 
 @query(
     "w10_first_accepted",
-    """SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, epoch_ms(min(ts)) AS ts_ms FROM events WHERE event_type = 'purchase' GROUP BY 1""",
+    """SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, epoch_us(min(ts)) // 1000 AS ts_ms FROM events WHERE event_type = 'purchase' GROUP BY 1""",
 )
 def w10(spark, sf):
     ev = timed(spark, sf, "event_type").filter("event_type = 'purchase'").drop("event_type")
