@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["edges", "scalars"]
+FAMILIES = ["edges", "scalars", "reports", "correlation"]
 
 
 def load():

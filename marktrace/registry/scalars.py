@@ -352,12 +352,12 @@ def c31(spark, sf):
 
 @query(
     "c32_quality_score",
-    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(0.40 * dark + 0.30 * least(blur / 100, 1) + 0.15 * greatest(0, 1 - abs(mean - 125) / 125) + 0.15 * least(h * w / 4800, 1) - 0.25 * least(abs(std) / 45, 1), 6)::DOUBLE AS score FROM ({IMAGE_SQL})""",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (0.40 * dark + 0.30 * least(blur * 3 / 300.0, 1) + 0.15 * greatest(0, 1 - abs(mean - 125) / 125) + 0.15 * least(h * w / 4800, 1) - 0.25 * least(abs(std) / 45, 1))::DOUBLE AS score FROM ({IMAGE_SQL})""",
 )
 def c32(spark, sf):
     f = image_features(spark, sf)
     s = D.quality_score(c("dark"), c("blur") * 3, c("mean"), c("h"), c("w"), c("std"))
-    return f.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.round(s, 6).alias("score"))
+    return f.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", s.alias("score"))
 
 
 @query(

@@ -24,7 +24,7 @@ def plain(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return f"{v:.9g}"
+        return f"{v:.12g}"
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, datetime):
@@ -62,8 +62,9 @@ def compare(spark, con, name, fn, sql, sf):
     if a == b:
         soft = [f"{n}:{kinds[n]}/{theirs[n]}" for n in kinds if loose(kinds[n]) != loose(theirs[n])]
         return not soft, took, f"rows={len(a)} {soft or ''}"
-    only_a = [r for r in a if r not in set(b)][:2]
-    only_b = [r for r in b if r not in set(a)][:2]
+    in_a, in_b = set(a), set(b)
+    only_a = [r for r in a if r not in in_b][:2]
+    only_b = [r for r in b if r not in in_a][:2]
     return False, took, f"rows {len(a)} vs {len(b)}; spark {only_a}; sql {only_b}"
 
 
