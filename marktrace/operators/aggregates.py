@@ -13,6 +13,17 @@ from marktrace.operators.joins import skew_join
 from marktrace.operators.ordered import order_rows, running
 
 
+def edge_totals(edges: DataFrame) -> DataFrame:
+    """A5 over all stations: one row."""
+    d = F.col("decision")
+    return edges.agg(
+        F.count_if(F.col("edge_type") == "RISING").alias("rising_total"),
+        F.count_if(d == "ACCEPTED").alias("accepted"),
+        F.count_if(d == "SUSPICIOUS_EARLY_TRIGGER").alias("early"),
+        F.count_if(d == "INVALID_PLC_PULSE").alias("invalid_pulse"),
+    )
+
+
 def status_counts(df: DataFrame, status: str = "status") -> DataFrame:
     """A2."""
     return df.groupBy(F.coalesce(F.col(status), F.lit("?")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
