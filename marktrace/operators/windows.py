@@ -46,10 +46,8 @@ def expire(df: DataFrame, ts: str, now: Column, ttl_ms: int) -> DataFrame:
     return df.filter(F.col(ts) >= now - ttl_ms)
 
 
-def repeat_suppression(rows: Ordered, value: str, session: str, window_ms: int = 90_000) -> DataFrame:
-    """A row repeats when value and session equal the remembered ones and it is less than the window
-    after the last kept row. A repeat does not refresh the memory; any other row replaces it."""
-    ts = rows.order[0]
+def repeat_step(value: str, session: str, ts: str, window_ms: int):
+    """Fold step of W8, shared by the batch and the streaming form."""
 
     def step(state, run):
         flags = np.zeros(len(run), bool)
@@ -60,6 +58,32 @@ def repeat_suppression(rows: Ordered, value: str, session: str, window_ms: int =
                 state = (v, s, t)
         return state, {"is_repeat": flags}
 
+    return step
+
+
+def queue_admission(rows: Ordered, arrival: str, capacity: int) -> DataFrame:
+    """ST9: bounded queue. Arrivals beyond the capacity are dropped and marked; other rows are departures."""
+
+    def step(state, run):
+        length = state[0] if state else 0
+        out, sizes = [], []
+        for is_in in run[arrival]:
+            if is_in:
+                out.append("ADMITTED" if length < capacity else "DROPPED")
+                length += out[-1] == "ADMITTED"
+            else:
+                out.append("SERVED" if length else "IDLE")
+                length -= out[-1] == "SERVED"
+            sizes.append(int(length))
+        return (int(length),), {"outcome": out, "queue_length": sizes}
+
+    return ordered_fold(rows, step, "outcome string, queue_length int").drop("_slice")
+
+
+def repeat_suppression(rows: Ordered, value: str, session: str, window_ms: int = 90_000) -> DataFrame:
+    """A row repeats when value and session equal the remembered ones and it is less than the window
+    after the last kept row. A repeat does not refresh the memory; any other row replaces it."""
+    step = repeat_step(value, session, rows.order[0], window_ms)
     return ordered_fold(rows, step, "is_repeat boolean").drop("_slice")
 
 
