@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marktrace.functions.text import base_variant, lookup, normalize
 from marktrace.operators.joins import symmetric
+from marktrace.operators.ordered import hot_groups
 
 MAX_RULE_ROWS = 200_000
 
@@ -57,6 +58,14 @@ class FusionParams:
     rescue_b_support: float = 0.85
 
 
+def place_by_session(reads: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shuffle the reads once by session so that every later aggregate is local. Skipped when a session
+    is larger than one slice: then each step shuffles its own, already merged rows on finer keys."""
+    needed = [*keys, "raw_text", "evidence_group", "variant_name", "ocr_conf", "variant_weight", "crop_quality", "read_seq"]
+    slim = reads.select(*needed)
+    return slim if hot_groups(reads, keys)[1] else slim.repartition(*keys)
+
+
 def merge_reads(reads: DataFrame, keys: Sequence[str], length: int) -> DataFrame:
     """Full-length reads merged per (session, text, evidence group, variant)."""
     conf = F.greatest(F.lit(0.0), F.col("ocr_conf"))
@@ -174,28 +183,32 @@ def score_models(decisions: DataFrame, totals: DataFrame, keys: Sequence[str], p
 
 
 def exact_evidence(cells: DataFrame, fused: DataFrame, keys: Sequence[str], grammar: DataFrame, p: FusionParams) -> DataFrame:
-    """Support for the fused text by reads that equal it, and strictly valid rivals of the same model."""
+    """Support for the fused text by reads that equal it, and strictly valid rivals of the same model.
+    Added to the columns of ``fused``, which is read only once."""
     base = base_variant(F.col("variant_name"))
     trusted = F.when(base.isin(list(p.trusted_variants)), base) if p.trusted_variants else F.lit(None).cast("string")
     texts = cells.groupBy(*keys, "text").agg(
-        F.sum("weight").alias("weight"), F.sum("reads").alias("reads"), F.sum("conf_sum").alias("conf_sum"),
-        F.count_distinct("evidence_group").alias("groups"), F.count_distinct(trusted).alias("trusted"),
+        F.sum("weight").alias("t_weight"), F.sum("reads").alias("t_reads"), F.sum("conf_sum").alias("t_conf"),
+        F.count_distinct("evidence_group").alias("t_groups"), F.count_distinct(trusted).alias("t_trusted"),
     )
-    t = texts.join(fused.select(*keys, "fused", "final_model"), list(keys))
+    t = texts.join(fused, list(keys))
     same = F.col("text") == F.col("fused")
     text_model = lookup(F.substring("text", 1, p.prefix_width), p.prefixes) if p.prefixes else F.col("final_model")
     t = t.join(F.broadcast(grammar), t["final_model"] == grammar["_gm"], "left")
     valid = F.coalesce(F.forall("_sets", lambda s: F.array_contains(s.allowed, F.substr(F.col("text"), s.pos, F.lit(1)))), F.lit(False))
     t = t.withColumns({"_same": same, "_valid": valid & text_model.eqNullSafe(F.col("final_model"))})
-    mine = F.sum(F.when(F.col("_same"), F.col("weight")))
-    rival = F.max(F.when(~F.col("_same") & F.col("_valid") & (F.col("trusted") > 0), F.col("weight")))
+    mine = F.sum(F.when(F.col("_same"), F.col("t_weight")))
+    rival = F.max(F.when(~F.col("_same") & F.col("_valid") & (F.col("t_trusted") > 0), F.col("t_weight")))
     zero = F.lit(0).cast("long")
     pick = lambda c: F.coalesce(F.max(F.when(F.col("_same"), F.col(c))), zero)
-    return t.groupBy(*keys).agg(
-        pick("reads").alias("exact_reads"), pick("groups").alias("exact_groups"), pick("trusted").alias("trusted_bases"),
-        F.coalesce(F.round(F.max(F.when(F.col("_same"), F.col("conf_sum") / F.col("reads"))), 3), F.lit(0.0)).alias("exact_mean_conf"),
+    own = [c for c in fused.columns if c not in keys]
+    out = t.groupBy(*keys).agg(
+        F.any_value(F.struct(*own)).alias("_own"),
+        pick("t_reads").alias("exact_reads"), pick("t_groups").alias("exact_groups"), pick("t_trusted").alias("trusted_bases"),
+        F.coalesce(F.round(F.max(F.when(F.col("_same"), F.col("t_conf") / F.col("t_reads"))), 3), F.lit(0.0)).alias("exact_mean_conf"),
         F.coalesce(rival / F.greatest(F.coalesce(mine, F.lit(0.0)), F.lit(1e-9)) >= p.conflict_ratio, F.lit(False)).alias("conflict"),
     )
+    return out.select(*keys, "_own.*", *[c for c in out.columns if c not in keys and c != "_own"])
 
 
 GATES = ["final_score", "crops_or_consensus", "structurally_valid", "risky_margin", "variable_margin", "serial_margin", "exact_conflict", "raw_support_ratio", "known_model", "key_position"]
@@ -205,6 +218,7 @@ SOFT = ["risky_margin", "variable_margin", "key_position"]
 def fuse_reads(reads: DataFrame, rules: DataFrame, confusions: DataFrame, p: FusionParams, keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """H3: one row per session with status ACCEPT, OCR_AMBIGUOUS or NO_READ, gates and failing reasons."""
     keys = list(keys)
+    reads = place_by_session(reads, keys)
     cells = merge_reads(reads, keys, p.length)
     table = rule_positions(rules, confusions, p.confusion_prior)
     votes = position_votes(cells, keys)
@@ -212,7 +226,7 @@ def fuse_reads(reads: DataFrame, rules: DataFrame, confusions: DataFrame, p: Fus
     labelled = lookup(F.substring("fused", 1, p.prefix_width), p.prefixes) if p.prefixes else F.lit(None).cast("string")
     best = best.withColumn("final_model", F.coalesce(labelled, "model"))
     grammar = table.groupBy(F.col("model").alias("_gm")).agg(F.collect_list(F.struct("pos", "allowed")).alias("_sets"))
-    j = best.join(exact_evidence(cells, best, keys, grammar, p), keys)
+    j = exact_evidence(cells, best, keys, grammar, p)
 
     ds = F.col("decisions")
     lowest = lambda keep: F.coalesce(F.array_min(F.transform(F.filter(ds, keep), lambda x: x.margin)), F.lit(1.0))

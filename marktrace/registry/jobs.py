@@ -18,6 +18,7 @@ from marktrace.plans.observation import observation_report
 from marktrace.plans.retention import retention_plan
 from marktrace.registry.base import query, table
 from marktrace.registry.edges import DEBOUNCE, EDGES_SQL, samples
+from marktrace.session import settle
 
 c, lit = F.col, F.lit
 HOUR = 3_600_000
@@ -38,7 +39,8 @@ def owned(spark, sf, accepted, kind):
 
 
 def timeline(spark, sf, params=SESSION):
-    acc = triggers(spark, sf).filter("decision = 'ACCEPTED'").drop("decision")
+    # the accepted triggers feed four branches: write them once instead of folding again in each
+    acc = settle(triggers(spark, sf).filter("decision = 'ACCEPTED'").drop("decision"))
     exits = table(spark, sf, "events").filter("event_type = 'error'").select("user_id", epoch_ms("ts").alias("at_ms"), c("event_id").alias("exit_id"))
     return T.session_timeline(acc, owned(spark, sf, acc, "purchase"), owned(spark, sf, acc, "click"), exits, ["user_id"], params)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marktrace.functions.times import epoch_ms
 from marktrace.operators import windows as W
 from marktrace.operators.ordered import order_rows
-from marktrace.registry.base import query, table
+from marktrace.registry.base import SQL, query, table
 from marktrace.registry.edges import DEBOUNCE, TRIGGER, EDGES_SQL
 from marktrace.registry.jobs import HOUR, SESSION, TIMELINE_SQL
 from marktrace.operators.edges import TriggerParams
@@ -60,7 +60,7 @@ def st5(spark, sf):
     return drain(SE.stream_latest(twice, ["event_id"], "ts", "40 days"), "st5").select("event_id", "user_id")
 
 
-@query("st6_stream_repeats")
+@query("st6_stream_repeats", SQL["w8_repeat_suppression"])
 def st6(spark, sf):
     s = arriving(spark, sf).select((c("user_id") % 20).alias("station"), "user_id", "ts_ms", "event_id", "event_type")
     return drain(SE.stream_repeats(s, ["station"], "event_type", "user_id", 24 * HOUR, "ts_ms", "event_id"), "st6").select("station", "user_id", "ts_ms", "event_id", "event_type", "is_repeat")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from datetime import date, datetime
@@ -84,8 +85,10 @@ def main(argv):
     import __spark_entry__ as entry
     from marktrace.session import build_session
 
-    sf = "/root/testdata/sf0.01"
+    sf = os.environ.get("COMPARE_SF", "/root/testdata/sf0.01")
     spark = build_session()
+    if os.environ.get("SLICE_ROWS"):
+        spark.conf.set("marktrace.sliceRows", os.environ["SLICE_ROWS"])
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     queries, sql = entry.queries(), entry.oracle_sql()
