@@ -121,7 +121,7 @@ def rule_positions(rules: DataFrame, confusions: DataFrame, prior: float) -> Dat
 def choose_positions(votes: DataFrame, keys: Sequence[str], rules: DataFrame, p: FusionParams) -> DataFrame:
     """Per session, model and position the best character, its share, margin and provenance."""
     # at most one entry per alphabet character
-    cells = F.collect_list(F.struct((-F.col("weight")).alias("neg"), "seq", "char", "weight", "reads", "variants", "groups"))
+    cells = F.collect_list(F.struct((-F.round("weight", 9)).alias("neg"), "seq", "char", "weight", "reads", "variants", "groups"))
     per = votes.groupBy(*keys, "pos").agg(F.array_sort(cells).alias("cells"))
     j = per.join(F.broadcast(rules), "pos")  # rules: size checked in rule_positions
     j = j.withColumn("raw_char", F.element_at("cells", 1).char)
@@ -136,7 +136,7 @@ def choose_positions(votes: DataFrame, keys: Sequence[str], rules: DataFrame, p:
     total = lambda ch: F.aggregate(F.filter("_flow", lambda f: f.to == ch), F.lit(0.0), lambda a, f: a + f.ev)
     first = lambda ch: F.array_min(F.transform(F.filter("_flow", lambda f: f.to == ch), lambda f: f.seq))
     names = F.array_distinct(F.transform("_flow", lambda f: f.to))
-    ev = F.transform(names, lambda ch: F.struct((-total(ch)).alias("neg"), first(ch).alias("seq"), ch.alias("char"), F.array_contains("allowed", ch).alias("ok")))
+    ev = F.transform(names, lambda ch: F.struct((-F.round(total(ch), 9)).alias("neg"), first(ch).alias("seq"), ch.alias("char"), F.array_contains("allowed", ch).alias("ok")))
     j = j.withColumn("ev", F.array_sort(ev)).drop("_flow", "moves")
     forced = lookup(F.col("pos"), p.constants) if p.constants else F.lit(None).cast("string")
     j = j.withColumns({"forced": forced})
@@ -178,7 +178,7 @@ def score_models(decisions: DataFrame, totals: DataFrame, keys: Sequence[str], p
     rank = lookup(F.col("model"), {m: -i for i, m in enumerate(p.models)}) if p.models else F.lit(0)
     per = per.withColumns({"fully": F.col("compliance") == 1.0, "score": 0.5 * F.col("compliance") + 0.25 * F.col("mean_prob") + 0.25 * F.col("avg_conf")})
     row = F.struct("model", "decisions", "fused", "compliance", "mean_prob", "fully", "score", "avg_conf", "n_reads", "n_groups")
-    best = per.groupBy(*keys).agg(F.max_by(row, F.struct("fully", "score", rank.alias("_r"))).alias("b"))
+    best = per.groupBy(*keys).agg(F.max_by(row, F.struct("fully", F.round("score", 9).alias("_s"), rank.alias("_r"))).alias("b"))
     return best.select(*keys, "b.*")
 
 

@@ -89,7 +89,7 @@ def st9(spark, sf):
 @query("st10_stream_log_counts", "SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01')) // 1000 AS window_ms, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def st10(spark, sf):
     n = SE.stream_log_counts(arriving(spark, sf, clock=True), "ts", ["event_type"], "6 hours", "1 hour")
-    return drain(n, "st10").filter("event_type <> 'clock'").select(F.unix_millis("window_start").alias("window_ms"), "event_type", "n")
+    return drain(n, "st10").filter("event_type <> 'clock'").select(epoch_ms("window_start").alias("window_ms"), "event_type", "n")
 
 
 @query(
@@ -113,7 +113,7 @@ def st11(spark, sf):
 def st12(spark, sf):
     p = drain(SE.stream_presence(arriving(spark, sf, clock=True), "ts", ["user_id", ], "12 hours", "1 hour"), "st12")
     edge = table(spark, sf, "events").agg(F.max(epoch_ms("ts"))).first()[0]
-    return p.select("user_id", F.unix_millis("opened").alias("opened_ms"), F.unix_millis("last_seen").alias("last_seen_ms"), "frames").filter(c("opened_ms") <= edge)
+    return p.select("user_id", epoch_ms("opened").alias("opened_ms"), epoch_ms("last_seen").alias("last_seen_ms"), "frames").filter(c("opened_ms") <= edge)
 
 
 @query("s14_log_tail", "SELECT event_id, event_type FROM events")
