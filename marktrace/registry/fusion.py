@@ -114,10 +114,10 @@ won AS (SELECT * FROM model QUALIFY row_number() OVER (PARTITION BY session_id O
 
 @query(
     "h3_fused_text",
-    f"WITH {CHOICE_SQL} SELECT session_id, fused, CASE substr(fused, 1, 2) WHEN '1A' THEN 'ALPHA' WHEN '2A' THEN 'BETA' WHEN '3A' THEN 'ALPHA' ELSE m END AS model, round(score, 8)::DOUBLE AS score FROM won",
+    f"WITH {CHOICE_SQL} SELECT session_id, fused, CASE substr(fused, 1, 2) WHEN '1A' THEN 'ALPHA' WHEN '2A' THEN 'BETA' WHEN '3A' THEN 'ALPHA' ELSE m END AS model, round(score + 1e-10, 8)::DOUBLE AS score FROM won",
 )
 def h3_text(spark, sf):
-    return fused(spark, sf).filter("status <> 'NO_READ'").select("session_id", "fused", "model", F.round("score", 8).alias("score"))
+    return fused(spark, sf).filter("status <> 'NO_READ'").select("session_id", "fused", "model", F.round(c("score") + 1e-10, 8).alias("score"))
 
 
 @query(
