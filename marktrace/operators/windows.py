@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marktrace.operators.ordered import Ordered, order_rows, ordered_fold, previous, ranked, running, trailing
+from marktrace.operators.ordered import Ordered, order_rows, ordered_fold, ranked, running, trailing
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
