@@ -203,3 +203,19 @@ def u5b(spark, sf):
     pairs = ev.select("event_type", "user_id").distinct()
     good = ev.filter("value > 450").select("user_id").distinct().withColumn("_g", lit(True))
     return pairs.join(good, "user_id", "left").groupBy("event_type").agg(F.count("_g").alias("trusted"))
+
+
+_VALID = " AND ".join(_allowed("fmod", str(i), f"substr(t, {i}, 1)") for i in range(1, 8))
+
+
+@query(
+    "a21_exact_counts",
+    f"""WITH {CHOICE_SQL}, fm AS (SELECT session_id, fused, CASE substr(fused, 1, 2) WHEN '1A' THEN 'ALPHA' WHEN '2A' THEN 'BETA' WHEN '3A' THEN 'ALPHA' ELSE m END AS fmod FROM won),
+    tx AS (SELECT session_id, t, fused, fmod, sum(greatest(0, ocr_conf) * vw * greatest(0.05, q)) AS wt, count(*) AS n, count(DISTINCT evidence_group) AS g, count(DISTINCT split_part(variant_name, '@', 1)) FILTER (split_part(variant_name, '@', 1) IN ('base', 'clear')) AS tb
+      FROM reads JOIN fm USING (session_id) WHERE length(t) = 7 GROUP BY 1, 2, 3, 4),
+    vx AS (SELECT *, {_VALID} AND CASE substr(t, 1, 2) WHEN '1A' THEN 'ALPHA' WHEN '2A' THEN 'BETA' WHEN '3A' THEN 'ALPHA' END IS NOT DISTINCT FROM fmod AS valid FROM tx)
+    SELECT session_id, coalesce(max(n) FILTER (t = fused), 0)::BIGINT AS exact_reads, coalesce(max(g) FILTER (t = fused), 0)::BIGINT AS exact_groups, coalesce(max(tb) FILTER (t = fused), 0)::BIGINT AS trusted_bases,
+    coalesce(max(wt) FILTER (t <> fused AND valid AND tb > 0) / greatest(coalesce(sum(wt) FILTER (t = fused), 0), 1e-9) >= 0.55, false) AS conflict FROM vx GROUP BY 1""",
+)
+def a21_counts(spark, sf):
+    return fused(spark, sf).filter("status <> 'NO_READ'").select("session_id", "exact_reads", "exact_groups", "trusted_bases", "conflict")
