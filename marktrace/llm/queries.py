@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marktrace.llm.decontaminate import contamination
 from marktrace.llm.lines import dedup_lines
 from marktrace.llm.packing import pack_documents
 from marktrace.llm.tokens import token_counts
@@ -56,3 +57,28 @@ def op7(spark, sf):
 @query("op9_token_counts")
 def op9(spark, sf):
     return token_counts(table(spark, sf, "documents"))
+
+
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+CONTAMINATION_SQL = f"""
+WITH item AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS body
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)),
+doc AS (SELECT doc_id, {WORDS} AS w FROM documents),
+place AS (
+  SELECT doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS body
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, (SELECT DISTINCT size FROM windows))),
+hit AS (SELECT doc_id, i, windows.size, item_id FROM place JOIN windows USING (body)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM hit)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op10_benchmark_decontamination", CONTAMINATION_SQL)
+def op10(spark, sf):
+    marked = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
