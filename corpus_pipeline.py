@@ -9,15 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktrace.llm.common import stored
+from marktrace.llm.common import stored, whole_text
 from marktrace.llm.decontaminate import contamination
 from marktrace.llm.lines import dedup_lines
 from marktrace.llm.packing import pack_documents
+from marktrace.llm.quality import quality_scores
 from marktrace.registry.base import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``rejected(doc_id, text_key)`` names; ids may be null or repeated."""
+    keyed = docs.select(*COLUMNS, F.xxhash64(whole_text()).alias("text_key"))
+    gone = rejected.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["text_key"] == gone["_key"]), "left_anti").select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality ranking rejects go."""
+    return quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 or more characters found in 5 or more documents stay in one; ``n_chars`` follows the text."""
     kept = dedup_lines(docs)
@@ -25,9 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items contaminate go; a row without id is never matched and stays."""
-    dirty = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that benchmark items contaminate go."""
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("line dedup", line_dedup), ("benchmark decontamination", decontamination), ("best-fit packing", packing)]
+STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("benchmark decontamination", decontamination), ("best-fit packing", packing)]
 #: token ids cannot be said in SQL
 ORACLE_SQL = None
 

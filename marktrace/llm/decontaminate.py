@@ -84,7 +84,7 @@ def token_rarity(docs: DataFrame, steps: list[int], known: np.ndarray | None) ->
 
 
 def candidates(docs: DataFrame, steps: list[int], known: np.ndarray | None, window: int) -> DataFrame:
-    """One row per input row: ``doc_id, n_words`` and, for each word at which a known token starts, the words around it."""
+    """One row per input row: ``doc_id, text_key, n_words`` and, for each word at which a known token starts, the words around it."""
     kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("around", pa.list_(pa.string()))]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,17 +101,17 @@ def candidates(docs: DataFrame, steps: list[int], known: np.ndarray | None, wind
                         a, b = int(w.bounds[at]), int(w.bounds[at + 1])
                         first, last = max(a, i - window + step), min(b, i + window)
                         cands[at].append({"token": int(value[i]), "at": i - a, "first": first - a, "around": w.text(first, last).split(" ")})
-                ids = batch.column("doc_id").slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(w.bounds)), pa.array(cands, kind)], names=["doc_id", "n_words", "cands"])
+                ids, keys = (batch.column(c).slice(part.start, part.stop - part.start) for c in ("doc_id", "text_key"))
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(np.diff(w.bounds)), pa.array(cands, kind)], names=["doc_id", "text_key", "n_words", "cands"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return slim.mapInArrow(scan, "doc_id long, n_words long, cands array<struct<token: long, at: int, first: int, around: array<string>>>")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
+    return slim.mapInArrow(scan, "doc_id long, text_key long, n_words long, cands array<struct<token: long, at: int, first: int, around: array<string>>>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, lookup_tokens: int = LOOKUP_TOKENS) -> DataFrame:
     """Which words of each document lie inside a window of a benchmark item.
 
-    Returns per input row ``doc_id, n_words, hits`` (distinct ``start, size`` of occurring windows), ``n_hit``,
+    Returns per input row ``doc_id, text_key`` (xxhash64 of the text)``, n_words, hits`` (distinct ``start, size`` of occurring windows), ``n_hit``,
     ``items`` (ids as strings, sorted), ``n_items`` and ``contaminated`` (some word hit, and at least one in
     ``share``). Null texts have no words; an item without id marks words but is not listed; an item that occurs
     twice counts once. Rows that repeat an id are judged one by one. Columns beyond id and text are not read.
@@ -145,7 +145,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     spans = hits.groupBy("_row").agg(F.collect_set(F.struct("start", "size")).alias("hits")).withColumn("n_hit", covered)
     named = hits.select("_row", "body").join(raw.select("item_id", "body").distinct(), "body").groupBy("_row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     marked = spans.join(named, "_row", "left")
-    all_rows = rows.select("_row", "doc_id", "n_words").join(marked, "_row", "left")
+    all_rows = rows.select("_row", "doc_id", "text_key", "n_words").join(marked, "_row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     listed = F.coalesce("items", F.array().cast("array<string>"))
-    return all_rows.select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<struct<start:int,size:int>>")).alias("hits"), n_hit.alias("n_hit"), listed.alias("items"), F.size(listed).cast("long").alias("n_items"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
+    return all_rows.select("doc_id", "text_key", "n_words", F.coalesce("hits", F.array().cast("array<struct<start:int,size:int>>")).alias("hits"), n_hit.alias("n_hit"), listed.alias("items"), F.size(listed).cast("long").alias("n_items"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marktrace.llm.decontaminate import contamination
 from marktrace.llm.lines import dedup_lines
 from marktrace.llm.packing import pack_documents
+from marktrace.llm.quality import quality_scores
 from marktrace.llm.tokens import token_counts
 from marktrace.registry.base import table
 
@@ -32,6 +33,12 @@ def op3(spark, sf):
     return pack_documents(table(spark, sf, "documents"))
 
 
+@query("op5_quality_classifier")
+def op5(spark, sf):
+    scored = quality_scores(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 LINES_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos

@@ -195,11 +195,11 @@ def loaded(kind: type, name: str):
     return _LOADED[kind, name]
 
 
-def portions(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[slice]:
-    """Slices of consecutive texts of about ``limit`` characters, so memory follows the longest text, not the batch."""
+def portions(texts: list[str], limit: int = BATCH_CHARS, most: int = 1_000) -> Iterator[slice]:
+    """Slices of consecutive texts of about ``limit`` characters and at most ``most`` texts, so memory follows the longest text, not the batch."""
     first, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        if size and size + len(t) > limit or i - first == most:
             yield slice(first, i)
             first, size = i, 0
         size += len(t)
