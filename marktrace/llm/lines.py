@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marktrace.llm.common import key128, whole_text
+from marktrace.llm.common import key128, stored, whole_text
 
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,9 +16,14 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    """128-bit hash of a line's key, null for keys that are too short to count."""
-    return F.when(F.char_length(line_key(line)) >= min_chars, F.struct(*(h.alias(n) for h, n in zip(key128(line_key(line)), "xy", strict=True))))
+def line_hash(key: Column) -> Column:
+    return F.struct(*(h.alias(n) for h, n in zip(key128(key), "xy", strict=True)))
+
+
+def countable(lines: Column, min_chars: int) -> Column:
+    """Hashes of the keys of ``lines`` that are long enough, each once; each key is made once."""
+    keys = F.transform(F.filter(lines, lambda x: F.char_length(x) >= min_chars), line_key)
+    return F.array_distinct(F.transform(F.filter(keys, lambda k: F.char_length(k) >= min_chars), line_hash))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -30,12 +35,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     line and comes back empty. Input columns called n_lines or n_dropped are replaced.
 
     Hashes are counted with map-side combining, so a line that a third of all rows share is one row per task.
-    The texts move once, for the join with the hashes to drop; rows are matched by id and text hash.
+    They are stored once, so texts are split twice in all, and texts move once, for the join with the hashes
+    to drop; rows are matched by id and text hash.
     """
     base = docs.drop("n_lines", "n_dropped")
     text = whole_text()
-    held = base.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_text"), F.explode(F.array_distinct(F.array_compact(F.transform(F.split(text, "\n", -1), lambda x: line_hash(x, min_chars))))).alias("_h")).select("_id", "_text", "_h.x", "_h.y")
+    held = base.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_text"), F.explode(countable(F.split(text, "\n", -1), min_chars)).alias("_h")).select("_id", "_text", "_h.x", "_h.y")
+    held = stored(held, "lines")
     common = held.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("_id").alias("keeper")).where(F.col("n") >= min_docs).select("x", "y", "keeper")
+    # as a table of its own the common side leaves the line side of the join free to be split where a line is hot
+    common = stored(common, "common-lines")
     lost = held.join(common, ["x", "y"]).where(~F.col("_id").eqNullSafe(F.col("keeper")))
     # equal rows name the same lines; the set makes them one
     gone = lost.groupBy("_id", "_text").agg(F.collect_set(F.struct("x", "y")).alias("_gone"))
@@ -43,7 +52,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     left = base.withColumn("_text", F.xxhash64(text))
     joined = left.join(gone, left["doc_id"].eqNullSafe(gone["_id"]) & (left["_text"] == gone["_text"]), "left").select(*[left[c] for c in base.columns], "_gone")
     lines = F.split(text, "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), line_hash(x, min_chars)), F.lit(False))))
+    kept = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.char_length(x) < min_chars) | ~F.array_contains(F.col("_gone"), line_hash(line_key(x)))))
     done = joined.select(*names, lines.alias("_lines"), kept.alias("_kept"))
     out = [F.array_join("_kept", "\n").alias("text") if c == "text" else F.col(c) for c in base.columns]
     return done.select(*out, F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"))
