@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marktrace.llm.common import stored, whole_text
 from marktrace.llm.decontaminate import contamination
 from marktrace.llm.lines import dedup_lines
+from marktrace.llm.minhash import near_duplicates
 from marktrace.llm.packing import pack_documents
 from marktrace.llm.quality import quality_scores
 from marktrace.registry.base import table
@@ -37,6 +38,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    marked = stored(near_duplicates(docs), "near-duplicates")
+    left = _without(docs, marked.where("NOT kept").join(marked.where("kept"), ["doc_id", "text_key"], "left_anti"))
+    again = marked.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    # of rows that repeat both id and text one stays
+    return left if again.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark items contaminate go."""
     return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
@@ -47,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("benchmark decontamination", decontamination), ("best-fit packing", packing)]
+STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("minhash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("best-fit packing", packing)]
 #: token ids cannot be said in SQL
 ORACLE_SQL = None
 

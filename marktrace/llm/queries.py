@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marktrace.llm.decontaminate import contamination
 from marktrace.llm.lines import dedup_lines
+from marktrace.llm.minhash import near_duplicates
 from marktrace.llm.packing import pack_documents
 from marktrace.llm.quality import quality_scores
 from marktrace.llm.tokens import token_counts
@@ -61,6 +62,11 @@ def op7(spark, sf):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op8_minhash_near_dedup")
+def op8(spark, sf):
+    return near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 @query("op9_token_counts")
 def op9(spark, sf):
     return token_counts(table(spark, sf, "documents"))
