@@ -41,8 +41,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
     marked = stored(near_duplicates(docs), "near-duplicates")
-    left = _without(docs, marked.where("NOT kept").join(marked.where("kept"), ["doc_id", "text_key"], "left_anti"))
-    again = marked.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    met = marked.groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    left, again = _without(docs, met.where("NOT kept")), met.where("kept AND n > 1")
     # of rows that repeat both id and text one stays
     return left if again.isEmpty() else left.dropDuplicates(["doc_id", "text"])
 
