@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 
 from marktrace.llm.common import whole_text
 
-#: pieces up to this length are remembered by a worker, at most so many of them
-PIECE_CHARS, CACHE_PIECES = 64, 600_000
+#: pieces remembered by a worker before it starts afresh
+CACHE_PIECES = 400_000
 #: characters of text worked on at once
 BATCH_CHARS = 2_000_000
 NO_RANK = np.iinfo(np.int64).max
@@ -92,6 +94,23 @@ class MergeTable:
         return result
 
 
+#: a sentence mark after something that is neither letter, digit nor white space
+MARK_AFTER_MARK = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+
+
+class _Numbers(dict):
+    """Numbers keys in the order they are first asked for; ``new`` lists those not worked on yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        self.new.append(key)
+        return number
+
+
 class TokenCounter:
     """Counts tokens of texts; remembers short pieces between calls."""
 
@@ -99,13 +118,17 @@ class TokenCounter:
         self.table = MergeTable(path)
         self.pattern = regex.compile(PRE_TOKEN)
         self.special = re.compile("|".join(map(re.escape, self.table.special))) if self.table.special else None
-        self.known: dict[str, int] = {"": 0}
+        self.reset()
+
+    def reset(self) -> None:
+        self.number, self.size = _Numbers(), np.zeros(1 << 16, dtype=np.int64)
 
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Pieces whose counts add up to the count of ``text``, and the special tokens in it.
 
-        A single space between other characters always starts a pre-token, so a text without neighbouring
-        white space can be cut there; any other text is cut by the pre-token pattern itself.
+        White space of one character between others never joins what is around it, and a full stop or comma
+        never joins a letter or digit, so other texts than those with neighbouring white space can be cut
+        before each space, around line ends and before such marks. The rest is cut by the pre-token pattern.
         """
         extra, parts = 0, [text]
         if self.special and self.special.search(text):
@@ -114,73 +137,103 @@ class TokenCounter:
         for part in parts:
             if "\x00" in part or TWO_SPACES.search(part):
                 out += self.pattern.findall(part)
-            else:
-                out += part.replace(" ", "\x00 ").split("\x00")
+                continue
+            marks = not MARK_AFTER_MARK.search(part)
+            part = part.replace("\n", "\x00\n\x00").replace(" ", "\x00 ")
+            if marks:
+                part = part.replace(".\x00", "\x00.\x00").replace(",\x00", "\x00,\x00")
+            out += part.split("\x00")
         return out, extra
 
-    def learn(self, pieces: set[str]) -> dict[str, int]:
-        """Counts of pieces not yet known."""
-        new = [p for p in pieces if p not in self.known]
+    def learn(self) -> None:
+        """Counts of the new pieces, all their distinct pre-tokens merged together."""
+        new, self.number.new = self.number.new, []
+        first = len(self.number) - len(new)
+        while len(self.size) < len(self.number):
+            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
         cut = [self.pattern.findall(p) for p in new]
         pre = list({t for c in cut for t in c})
-        size = dict(zip(pre, self.table.counts([t.encode() for t in pre]).tolist(), strict=True)) if pre else {}
-        return {p: sum(map(size.__getitem__, c)) for p, c in zip(new, cut, strict=True)}
+        size = dict(zip(pre, self.table.counts([t.encode("utf-8", "surrogatepass") for t in pre]).tolist(), strict=True)) if pre else {}
+        self.size[first : len(self.number)] = [sum(map(size.__getitem__, c)) for c in cut]
 
     def count(self, texts: list[str]) -> list[int]:
+        if len(self.number) > CACHE_PIECES:
+            self.reset()
         cut = [self.pieces(t) for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known = {"": 0}
-        found = self.learn(set().union(*(p for p, _ in cut)))
-        long = {p: n for p, n in found.items() if len(p) > PIECE_CHARS}
-        self.known.update((p, n) for p, n in found.items() if len(p) <= PIECE_CHARS)
-        if not long:
-            return [sum(map(self.known.__getitem__, p)) + extra for p, extra in cut]
-        return [sum(long[x] if x in long else self.known[x] for x in p) + extra for p, extra in cut]
+        sizes = np.fromiter((len(p) for p, _ in cut), dtype=np.int64, count=len(cut))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(p for p, _ in cut)), dtype=np.int64, count=int(sizes.sum()))
+        self.learn()
+        upto = np.append(0, np.cumsum(self.size[at]))[np.append(0, np.cumsum(sizes))]
+        return (np.diff(upto) + np.array([extra for _, extra in cut], dtype=np.int64)).tolist()
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are below 256: none of them composes, and lowering looks at one at a time."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class TokenIds:
     """Token ids of texts by the library, run once per distinct white-space-free piece.
 
-    Only for vocabularies that drop white space before merging: there no token spans a space or line end.
+    Only for vocabularies that drop white space before merging and never join a letter or digit with a full
+    stop or comma: there a text can be cut at spaces, line ends and before such marks.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {"": 0}
+        self.number = _Numbers()
         self.flat, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
-        self.start, self.length, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
-
-    def learn(self, pieces: list[str]) -> None:
-        for encoding, piece in zip(self.library.encode_batch(pieces, add_special_tokens=False), pieces, strict=True):
+        self.start = np.zeros(1 << 16, dtype=np.int64)
+
+    def learn(self) -> None:
+        """Ids of the new pieces; many pieces go through the library as one text and are told apart by offsets."""
+        new, self.number.new = self.number.new, []
+        first = len(self.number) - len(new)
+        while len(self.start) <= len(self.number):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        for i in range(0, len(new), 2_000):
+            some = new[i : i + 2_000]
+            begin = np.cumsum([0, *(len(p) + 1 for p in some)])[:-1]
+            encoding = self.library.encode(" ".join(some), add_special_tokens=False)
             ids = encoding.ids
+            place = np.fromiter((o[0] for o in encoding.offsets), dtype=np.int64, count=len(ids))
+            each = np.bincount(np.searchsorted(begin, place, "right") - 1, minlength=len(some))
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if self.count == len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
             self.flat[self.used : self.used + len(ids)] = ids
-            self.start[self.count], self.length[self.count] = self.used, len(ids)
-            self.index[piece] = self.count
-            self.count += 1
+            self.start[first + i + 1 : first + i + 1 + len(some)] = self.used + np.cumsum(each)
             self.used += len(ids)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if self.count > CACHE_PIECES or self.used > 16 * CACHE_PIECES:
+        if len(self.number) > CACHE_PIECES or self.used > 16 * CACHE_PIECES:
             self.reset()
-        new = set().union(*cut).difference(self.index) if cut else set()
-        if new:
-            self.learn(sorted(new))
+        cut = []
+        for text in texts:
+            text = text.replace("\n", " ") + " "
+            if not MARK_AFTER_MARK.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ")
+            if "<" not in text and _latin(text):  # the vocabulary lowers letters; special strings keep their case
+                text = text.lower()
+            cut.append(text.split(" "))
         sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        at = np.fromiter((i for c in cut for i in map(self.index.__getitem__, c)), dtype=np.int64, count=int(sizes.sum()))
-        length = self.length[at]
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(sizes.sum()))
+        self.learn()
+        begin = self.start[at]
+        length = self.start[at + 1] - begin
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.start[at] - ends + length, length) + np.arange(total)]
+        begin -= ends - length
+        flat = self.flat[np.repeat(begin, length) + np.arange(total)]
         bounds = np.append(0, ends)[np.append(0, np.cumsum(sizes))]
         return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
