@@ -12,6 +12,7 @@ from marktrace.llm.lines import dedup_lines
 from marktrace.llm.minhash import near_duplicates
 from marktrace.llm.packing import pack_documents
 from marktrace.llm.quality import quality_scores
+from marktrace.llm.suffixes import remove_repeats
 from marktrace.llm.tokens import token_counts
 from marktrace.registry.base import table
 
@@ -34,6 +35,12 @@ def op3(spark, sf):
     return pack_documents(table(spark, sf, "documents"))
 
 
+@query("op4_suffix_array_dedup")
+def op4(spark, sf):
+    left = remove_repeats(table(spark, sf, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_quality_classifier")
 def op5(spark, sf):
     scored = quality_scores(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
