@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marktrace.llm.decontaminate import contamination
+from marktrace.llm.hnsw import near_vectors
 from marktrace.llm.lines import dedup_lines
 from marktrace.llm.minhash import near_duplicates
 from marktrace.llm.packing import pack_documents
@@ -30,6 +31,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_embedding_near_dedup")
+def op1(spark, sf):
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
 @query("op3_best_fit_packing")
 def op3(spark, sf):
     return pack_documents(table(spark, sf, "documents"))
