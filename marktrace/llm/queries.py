@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from marktrace.llm.decontaminate import contamination
 from marktrace.llm.hnsw import near_vectors
+from marktrace.llm.licenses import TEMPLATES, license_matches, template_table
 from marktrace.llm.lines import dedup_lines
 from marktrace.llm.minhash import near_duplicates
 from marktrace.llm.packing import pack_documents
+from marktrace.llm.pseudonyms import pseudonymise
 from marktrace.llm.quality import quality_scores
 from marktrace.llm.suffixes import remove_repeats
 from marktrace.llm.tokens import token_counts
@@ -21,6 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: key of the registered query; a user passes a secret one
+PSEUDONYM_KEY = "marktrace"
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -36,6 +42,25 @@ def op1(spark, sf):
     return near_vectors(table(spark, sf, "embeddings"))
 
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+LICENSE_SQL = f"""
+WITH template AS (SELECT name AS license, {WORDS.replace("text", "body")} AS w FROM (VALUES {_VALUES}) t(name, body)),
+gram AS (SELECT DISTINCT license, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM template)),
+size AS (SELECT license, count(*) AS n FROM gram GROUP BY license),
+doc AS (SELECT doc_id, i - 1 AS at_word, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents) d)),
+hit AS (SELECT doc_id, license, n, at_word, g, at_word // n AS slot FROM doc JOIN gram USING (g) JOIN size USING (license)),
+placed AS (SELECT *, unnest(CASE WHEN slot > 0 THEN [slot - 1, slot] ELSE [slot] END) AS win FROM hit),
+counted AS (SELECT doc_id, license, win, count(DISTINCT g)::DOUBLE / any_value(n) AS share, min(at_word) AS first_word FROM placed GROUP BY doc_id, license, win)
+SELECT doc_id, license, max(share) AS containment, min(first_word)::BIGINT AS first_word, count(*) AS n_windows FROM counted WHERE share >= 0.8 GROUP BY doc_id, license
+"""
+
+
+@query("op2_license_scan", LICENSE_SQL)
+def op2(spark, sf):
+    return license_matches(table(spark, sf, "documents"), template_table(spark, TEMPLATES))
+
+
 @query("op3_best_fit_packing")
 def op3(spark, sf):
     return pack_documents(table(spark, sf, "documents"))
@@ -53,6 +78,11 @@ def op5(spark, sf):
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op6_pii_pseudonyms")
+def op6(spark, sf):
+    return pseudonymise(table(spark, sf, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 LINES_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
@@ -85,7 +115,6 @@ def op9(spark, sf):
     return token_counts(table(spark, sf, "documents"))
 
 
-WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 CONTAMINATION_SQL = f"""
 WITH item AS (SELECT item_id, {WORDS} AS w FROM benchmark),
 windows AS (
