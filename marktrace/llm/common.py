@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marktrace.session import scratch_path
 
+#: edges that one task may hold while components are found
+TASK_EDGES = 200_000
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a Parquet table below the shared folder and read again.
@@ -36,26 +43,57 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def connected(edges: DataFrame, label: str = "components") -> DataFrame:
+def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node of each of ``n`` nodes' components under the links ``a, b``."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one task as stars: each node but the smallest of a component with that one."""
+    held = list(batches)
+    if held:
+        table = pa.Table.from_batches(held)
+        a, b = (table.column(c).to_numpy() for c in "ab")
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = labels(len(nodes), at[: len(a)], at[len(a) :])
+        child = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root[child]])], names=["a", "b"])
+
+
+def connected(edges: DataFrame, label: str = "components", task_edges: int = TASK_EDGES) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, root)``, root being the smallest node.
 
-    Alternating large-star and small-star rounds; each round is two map-side-combined minima and two
-    equi-joins, stored, and a node that is its own root has no row. Nulls and self-links are ignored.
-    The number of rounds is logarithmic in the longest chain; only a checksum comes to the driver.
+    Each task first contracts its own edges, ``task_edges`` at most on average. Then alternating large-star and
+    small-star rounds, of map-side-combined minima and equi-joins, are stored until nothing changes; as soon as
+    no more than ``task_edges`` are left, one task finishes them. A node that is its own root has no row; nulls
+    and self-links are ignored. The number of rounds is logarithmic in the longest chain; only counts and a
+    checksum come to the driver.
     """
     clean = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = stored(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    seen = None
+    now, seen = stored(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), label), None
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or mark[0] == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = mark
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), label)
+        n = now.count()
+        if n <= task_edges:
+            return now.coalesce(1).mapInArrow(_contract, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if seen is None:
+            after, mark = stored(now.repartition(-(-n // task_edges)).mapInArrow(_contract, "a long, b long"), label), (0, 0)
+        else:
+            mark = (n, now.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0])
+            if mark == seen:
+                return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            after = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), label)
         discard(now)
-        now = after
+        now, seen = after, mark

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marktrace.llm.common import connected, key128, stored
+from marktrace.llm.common import connected, key128, labels, stored
 from marktrace.llm.words import mix
 
 #: links per node and level (twice as many on the ground level), and the beam while building
@@ -183,19 +183,6 @@ def searched(graph: Graph, q: np.ndarray, least: float, beam: int, recall: float
         beam *= 2
 
 
-def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node of each node's component under the links ``a, b``."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def near_vectors(rows: DataFrame, least: float = 0.95, beam: int = BEAM, recall: float = RECALL, shard_rows: int = ROWS, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``rows(vec_id, embedding)``.
 

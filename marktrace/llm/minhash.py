@@ -15,7 +15,7 @@ from marktrace.llm.words import Words, mix, powers
 
 BANDS, BAND_ROWS, SHINGLE_WORDS, SIMILARITY = 24, 5, 5, 0.8
 #: rounds in which each bucket is compared with one member, before what is left is compared pair by pair
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 _A, _B, _C, _D = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -161,23 +161,27 @@ def candidate_links(members: DataFrame, texts: DataFrame, words: int, threshold:
     for turn in range(STAR_ROUNDS + 1):
         roots = connected(done.where("linked").select("a", "b"), f"near-{turn}") if turn else None
         named = members.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")) if turn else members.withColumn("root", F.col("row"))
-        apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("row", F.lit(turn)) if turn else F.col("row"), F.col("row").alias("centre"), F.col("root").alias("centre_root"), F.col("total").alias("centre_total"))).alias("c")).where("lo < hi").select("key", "c.centre", "c.centre_root", "c.centre_total")
+        apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("row", F.lit(turn)) if turn else F.col("row"), F.col("row").alias("centre"), F.col("root").alias("centre_root"), F.col("total").alias("centre_total"))).alias("c")).where("lo < hi").select("key", "n", "c.centre", "c.centre_root", "c.centre_total")
         apart = stored(apart, "buckets-apart")
         if apart.isEmpty():
             break
+        if turn:
+            named = stored(named.join(apart.select("key"), "key"), "apart-members")
         if turn < STAR_ROUNDS:
             met = named.join(apart, "key").where("root <> centre_root").select("row", "total", F.col("centre").alias("other"), F.col("centre_total").alias("other_total"))
         else:
-            left = stored(named.join(apart.select("key"), "key"), "apart-members")
-            sizes = left.groupBy("key", "root").agg(F.count("*").alias("n"))
+            sizes = named.groupBy("key", "root").agg(F.count("*").alias("n"))
             largest = stored(sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main")), "apart-largest")
-            few = left.join(largest, "key").where("root <> main").select("key", F.col("row").alias("other"), F.col("root").alias("other_root"), F.col("total").alias("other_total"))
-            met = left.join(few, "key").where("root <> other_root").select("row", "total", "other", "other_total")
+            few = named.join(largest, "key").where("root <> main").select("key", F.col("row").alias("other"), F.col("root").alias("other_root"), F.col("total").alias("other_total"))
+            met = named.join(few, "key").where("root <> other_root").select("row", "total", "other", "other_total")
         near = met.where((F.col("total") >= threshold * F.col("other_total")) & (F.col("other_total") >= threshold * F.col("total")))
         pairs = near.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
         pairs = pairs.join(done, ["a", "b"], "left_anti") if turn else pairs
         fresh = stored(similar(pairs, texts, words, threshold), "compared")
         done = fresh if not turn else done.union(fresh)
+        # a centre has been compared with its whole bucket or is connected to it, and with it a bucket of two is done
+        rest = members.join(apart.select("key", F.col("centre").alias("row")), ["key", "row"], "left_anti")
+        members = rest if turn == STAR_ROUNDS else stored(rest.join(apart.where("n > 2").select("key"), "key"), "buckets")
     return done.where("linked").select("a", "b")
 
 
