@@ -94,8 +94,8 @@ class MergeTable:
         return result
 
 
-#: a sentence mark after something that is neither letter, digit nor white space
-MARK_AFTER_MARK = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+#: a full stop or comma after something that is neither letter nor digit
+MARK_AFTER_MARK = re.compile(r"[\W_][.,]\s")
 
 
 class _Numbers(dict):
