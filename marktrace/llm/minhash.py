@@ -14,7 +14,7 @@ from marktrace.llm.tokens import portions
 from marktrace.llm.words import Words, mix, powers
 
 BANDS, BAND_ROWS, SHINGLE_WORDS, SIMILARITY = 24, 5, 5, 0.8
-#: rounds in which each bucket is compared with one member, before what is left is compared pair by pair
+#: rounds in which each bucket is compared with one member, before what is left is joined
 STAR_ROUNDS = 2
 _A, _B, _C, _D = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -148,32 +148,66 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) ->
     return both.mapInArrow(compare, "a long, b long, linked boolean")
 
 
+def apart_pairs(named: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` of different components in ``named(row, root)`` that may reach the threshold; none is missed.
+
+    Prefix-filtered join: each text's shingles, one element per occurrence, are ordered by how few texts have
+    them. Two similar texts share an element among the first of both (fewer in the smaller one), at positions
+    that leave enough elements behind. What members of a family have in common is frequent and thus not among
+    the first, so even large families give few pairs.
+    """
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("text").to_pylist()
+            for part in portions(found):
+                value, count, bounds = weighted_shingles(found[part], words)
+                ends = np.append(0, np.cumsum(count))
+                turn = np.arange(ends[-1]) - np.repeat(ends[:-1], count)
+                each = mix(np.repeat(value, count) + turn.astype(np.uint64) * _D)
+                listed = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(each.view(np.int64)))
+                rows, roots = (batch.column(c).slice(part.start, part.stop - part.start) for c in ("row", "root"))
+                yield pa.RecordBatch.from_arrays([rows, roots, listed], names=["row", "root", "elements"])
+
+    chosen = texts.join(named.select("row", "root").distinct(), "row").select("row", "root", "text")
+    sets = stored(chosen.mapInArrow(elements, "row long, root long, elements array<long>"), "apart-elements")
+    one = sets.select("row", "root", F.size("elements").alias("total"), F.explode("elements").alias("element"))
+    common = stored(one.groupBy("element").agg(F.count("*").alias("texts")), "apart-frequencies")
+    ordered = one.join(common, "element").groupBy("row", "root", "total").agg(F.sort_array(F.collect_list(F.struct("texts", "element"))).alias("order"))
+    ordered = stored(ordered.select("row", "root", "total", F.slice("order", 1, F.col("total") - F.ceil(F.col("total") * threshold).cast("int") + 1).alias("first")), "apart-prefixes")
+    places = ordered.select("row", "root", "total", F.posexplode("first").alias("at", "e")).select("row", "root", "total", "at", F.col("e.element").alias("element"))
+    small = places.where(F.col("at") <= F.col("total") - F.ceil(F.col("total") * (2 * threshold / (1 + threshold)))).select("element", *(F.col(c).alias(f"{c}2") for c in ("row", "root", "total", "at")))
+    smaller = (F.col("total2") < F.col("total")) | ((F.col("total2") == F.col("total")) & (F.col("row2") < F.col("row")))
+    enough = 1e-9 + F.least(F.col("total") - F.col("at"), F.col("total2") - F.col("at2")) >= (F.col("total") + F.col("total2")) * (threshold / (1 + threshold))
+    met = places.join(small, "element").where(smaller & (F.col("root") != F.col("root2")) & (F.col("total2") >= threshold * F.col("total")) & enough)
+    return met.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).distinct()
+
+
 def candidate_links(members: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Links ``a, b`` that connect all similar members of each bucket in ``members(key, row, total)``.
+    """Links ``a, b`` that connect all similar members of each bucket in ``members(key, row, total, met)``.
 
-    Round by round each bucket compares one of its members with those not yet connected to it, which turns a
-    large group of copies into one component in a few rounds of as many pairs as members. What is then still
-    apart in a bucket is compared pair by pair against the members outside its largest component, so every
-    two members of a bucket end up compared or connected, and none is left out for the bucket's size.
+    Round by round each bucket compares one of its members with those not yet connected to it: the one that
+    ``met`` most others in its buckets, which is the text most copies were made from. That turns a large group
+    of copies into one component in a few rounds of as many pairs as members. Members of
+    buckets that are then still apart go through an exact similarity join, so no two similar members of a
+    bucket stay unlinked, whatever its size.
     """
     spark = members.sparkSession
     done = spark.createDataFrame([], "a long, b long, linked boolean")
     for turn in range(STAR_ROUNDS + 1):
         roots = connected(done.where("linked").select("a", "b"), f"near-{turn}") if turn else None
         named = members.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")) if turn else members.withColumn("root", F.col("row"))
-        apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("row", F.lit(turn)) if turn else F.col("row"), F.col("row").alias("centre"), F.col("root").alias("centre_root"), F.col("total").alias("centre_total"))).alias("c")).where("lo < hi").select("key", "n", "c.centre", "c.centre_root", "c.centre_total")
+        apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.max(F.struct("met", (-F.col("row")).alias("first"), F.col("row").alias("centre"), F.col("root").alias("centre_root"), F.col("total").alias("centre_total"))).alias("c")).where("lo < hi").select("key", "n", "c.centre", "c.centre_root", "c.centre_total")
         apart = stored(apart, "buckets-apart")
         if apart.isEmpty():
             break
         if turn:
             named = stored(named.join(apart.select("key"), "key"), "apart-members")
-        if turn < STAR_ROUNDS:
-            met = named.join(apart, "key").where("root <> centre_root").select("row", "total", F.col("centre").alias("other"), F.col("centre_total").alias("other_total"))
-        else:
-            sizes = named.groupBy("key", "root").agg(F.count("*").alias("n"))
-            largest = stored(sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main")), "apart-largest")
-            few = named.join(largest, "key").where("root <> main").select("key", F.col("row").alias("other"), F.col("root").alias("other_root"), F.col("total").alias("other_total"))
-            met = named.join(few, "key").where("root <> other_root").select("row", "total", "other", "other_total")
+        if turn == STAR_ROUNDS:
+            fresh = similar(apart_pairs(named, texts, words, threshold).join(done, ["a", "b"], "left_anti"), texts, words, threshold)
+            done = done.union(stored(fresh, "compared"))
+            break
+        met = named.join(apart, "key").where("root <> centre_root").select("row", "total", F.col("centre").alias("other"), F.col("centre_total").alias("other_total"))
         near = met.where((F.col("total") >= threshold * F.col("other_total")) & (F.col("other_total") >= threshold * F.col("total")))
         pairs = near.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).distinct()
         pairs = pairs.join(done, ["a", "b"], "left_anti") if turn else pairs
@@ -181,7 +215,7 @@ def candidate_links(members: DataFrame, texts: DataFrame, words: int, threshold:
         done = fresh if not turn else done.union(fresh)
         # a centre has been compared with its whole bucket or is connected to it, and with it a bucket of two is done
         rest = members.join(apart.select("key", F.col("centre").alias("row")), ["key", "row"], "left_anti")
-        members = rest if turn == STAR_ROUNDS else stored(rest.join(apart.where("n > 2").select("key"), "key"), "buckets")
+        members = stored(rest.join(apart.where("n > 2").select("key"), "key"), "buckets")
     return done.where("linked").select("a", "b")
 
 
@@ -201,8 +235,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, words: int =
     nodes = seen.groupBy("x", "y").agg(F.min(F.struct("row", "doc_id", "text_key", "total", "bands")).alias("m"), F.count("*").alias("n")).select("x", "y", "m.*", "n")
     nodes = stored(nodes, "sketch-nodes")
     meetings = nodes.select("row", "total", F.explode("bands").alias("key"))
-    shared = meetings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = stored(meetings.join(shared, "key"), "buckets")
+    shared = meetings.groupBy("key").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    joined = stored(meetings.join(shared, "key"), "bucket-members")
+    members = stored(joined.join(joined.groupBy("row").agg(F.sum("others").alias("met")), "row").drop("others"), "buckets")
     wanted = nodes.join(members.select("row").distinct(), "row").select("row", "doc_id", "text_key")
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_text().alias("text"))
     texts = source.join(wanted, source["_id"].eqNullSafe(wanted["doc_id"]) & (F.xxhash64(source["text"]) == wanted["text_key"])).select("row", "text")
