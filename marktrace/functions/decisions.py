@@ -152,13 +152,13 @@ def release_decision(primary_status: Column, primary_raw: Column, primary_text:
 
 
 def second_reader_check(text: Column, valid: Column, avg: Column, low: Column, model: Column, structure_ok: Column, min_avg: float = 0.80, min_char: float = 0.35, require_model: bool = True) -> Column:
-    """``ok`` or the first reason why the second recogniser's reading is unusable."""
+    """``ok`` or the first reason why the second recogniser's reading is unusable. A missing confidence counts as 0, missing validity as false."""
     no_model = model.isNull() if require_model else F.lit(False)
     return (
         F.when(text.isNull(), "no_prediction")
-        .when(~valid, "invalid_vin")
-        .when(avg < min_avg, f"avg_conf<{min_avg:.2f}")
-        .when(low < min_char, f"min_char_conf<{min_char:.2f}")
+        .when(~F.coalesce(valid, F.lit(False)), "invalid_vin")
+        .when(F.coalesce(avg, F.lit(0.0)) < min_avg, f"avg_conf<{min_avg:.2f}")
+        .when(F.coalesce(low, F.lit(0.0)) < min_char, f"min_char_conf<{min_char:.2f}")
         .when(no_model, "unknown_model")
         .when(model.isNotNull() & ~structure_ok, "structure_mismatch")
         .otherwise("ok")

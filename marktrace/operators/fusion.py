@@ -18,9 +18,6 @@ from marktrace.functions.text import base_variant, lookup, normalize
 from marktrace.operators.joins import symmetric
 from marktrace.operators.ordered import hot_groups
 
-MAX_RULE_ROWS = 200_000
-
-
 @dataclass(frozen=True)
 class FusionParams:
     """Positions are 1-based. Constants, risky, serial and key positions come from the user's grammar."""
@@ -106,8 +103,6 @@ def weighted_confidence(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 def rule_positions(rules: DataFrame, confusions: DataFrame, prior: float) -> DataFrame:
     """One row per (model, position): allowed characters and, per disallowed character with allowed
     confusable neighbours, where its weight goes."""
-    if rules.count() > MAX_RULE_ROWS:
-        raise ValueError("rule table too large to broadcast")
     r = rules.select("model", "pos", F.col("allowed_char").alias("char")).distinct()
     allowed = r.groupBy("model", "pos").agg(F.array_sort(F.collect_set("char")).alias("allowed"))
     sym = symmetric(confusions).select("char", F.col("alt").alias("to"))
@@ -194,7 +189,7 @@ def exact_evidence(cells: DataFrame, fused: DataFrame, keys: Sequence[str], gram
     t = texts.join(fused, list(keys))
     same = F.col("text") == F.col("fused")
     text_model = lookup(F.substring("text", 1, p.prefix_width), p.prefixes) if p.prefixes else F.col("final_model")
-    t = t.join(F.broadcast(grammar), t["final_model"] == grammar["_gm"], "left")
+    t = t.join(grammar, t["final_model"] == grammar["_gm"], "left")
     valid = F.coalesce(F.forall("_sets", lambda s: F.array_contains(s.allowed, F.substr(F.col("text"), s.pos, F.lit(1)))), F.lit(False))
     t = t.withColumns({"_same": same, "_valid": valid & text_model.eqNullSafe(F.col("final_model"))})
     mine = F.sum(F.when(F.col("_same"), F.col("t_weight")))
@@ -301,7 +296,7 @@ def rerank_reads(reads: DataFrame, rules: DataFrame, confusions: DataFrame, p: F
     grammar = table.groupBy(F.col("model").alias("_gm")).agg(F.sort_array(F.collect_list(F.struct("pos", "allowed"))).alias("_sets"))
     near = confusions.groupBy("char").agg(F.sort_array(F.collect_list(F.struct("rank", "alt"))).alias("near"))
     near = near.agg(F.map_from_entries(F.collect_list(F.struct("char", F.transform("near", lambda n: n.alt).alias("alts")))).alias("_near"))
-    j = reads.join(F.broadcast(grammar), F.col("model") == F.col("_gm"), "left").crossJoin(F.broadcast(near))  # ``near`` is one row
+    j = reads.join(grammar, F.col("model") == F.col("_gm"), "left").crossJoin(F.broadcast(near))  # ``near`` is one row
     usable = F.col("_sets").isNotNull() & (F.length("text") == p.length)
 
     def decide(s: Column) -> Column:

@@ -21,9 +21,11 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from marktrace.session import settle, slice_rows
 
@@ -162,10 +164,10 @@ def running(
         **{n: F.last(e, ignorenulls=True).over(w) for n, e in lasts.items()},
         **{n: F.max(e).over(w) for n, e in maxes.items()},
     }
-    if not rows.hot:
-        return rows.with_df(rows.df.withColumns(local))
     if lasts and any(o.startswith("-") for o in rows.order):
         raise ValueError("last-value carries need an ascending order")
+    if not rows.hot:
+        return rows.with_df(rows.df.withColumns(local))
     position = F.struct(*[o.lstrip("-") for o in rows.order])
     totals = rows.df.groupBy(*rows.partition).agg(
         *[F.sum(e).alias(n) for n, e in sums.items()],
@@ -299,23 +301,29 @@ def _fold_pass(df: DataFrame, keys: list[str], order: list[str], step: Step, ext
     else:
         schema = T.StructType([*keep, *extra.fields])
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    added = to_arrow_schema(extra)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
         state: tuple | None = None
         seen = False
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            batch = batch.reset_index(drop=True)
+            frame = step_frame(batch, zone)
+            keyed = frame[part].astype(object)
             if part:
-                changed = (batch[part] != batch[part].shift()) & ~(batch[part].isna() & batch[part].shift().isna())
+                earlier = keyed.shift()
+                changed = (keyed != earlier) & ~(keyed.isna() & earlier.isna())
                 starts = [0, *[i for i in changed.any(axis=1).to_numpy().nonzero()[0] if i > 0]]
             else:
                 starts = [0]
-            pieces, finished = [], []
-            for a, b in zip(starts, [*starts[1:], len(batch)]):
-                run = batch.iloc[a:b]
-                key = tuple(None if pd.isna(v) else v for v in run[part].iloc[0]) if part else ()
+            pieces: dict[str, list] = {n: [] for n in names}
+            finished = []
+            for a, b in zip(starts, [*starts[1:], len(frame)]):
+                run = frame.iloc[a:b]
+                key = tuple(None if pd.isna(v) else v for v in keyed.iloc[a]) if part else ()
                 if not seen or key != current:
                     if seen and mode == "states":
                         finished.append((*current, _dump(state)))
@@ -323,17 +331,33 @@ def _fold_pass(df: DataFrame, keys: list[str], order: list[str], step: Step, ext
                     given = run["_entry"].iloc[0] if mode else None
                     state = tuple(json.loads(given)) if isinstance(given, str) else None
                 state, cols = step(state, run)
-                if mode != "states":
-                    pieces.append(run[[f.name for f in keep]].assign(**{n: cols[n] for n in names}))
+                for n in names:
+                    pieces[n].extend(cols[n])
             if mode == "states":
                 if finished:
-                    yield pd.DataFrame(finished, columns=[*part, "_exit"])
+                    yield _exits(finished, batch.schema)
+                last = batch.schema
             else:
-                yield pd.concat(pieces)
+                # rows pass through as Arrow; only what the step made is new
+                new = [pa.array(pieces[f.name], f.type, from_pandas=True) for f in added]
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *new], names=[*(f.name for f in keep), *names])
         if mode == "states" and seen:
-            yield pd.DataFrame([(*current, _dump(state))], columns=[*part, "_exit"])
+            yield _exits([(*current, _dump(state))], last)
+
+    def _exits(rows: list[tuple], like: pa.Schema) -> pa.RecordBatch:
+        types = [*(like.field(p).type for p in part), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[*part, "_exit"])
+
+    return placed.mapInArrow(fold, schema)
+
 
-    return placed.mapInPandas(fold, schema)
+def step_frame(batch: pa.RecordBatch, zone: str) -> pd.DataFrame:
+    """Rows as a step sees them: integers stay exact where some are NULL (objects with None, not floats)."""
+    frame = batch.to_pandas(integer_object_nulls=True, date_as_object=True)
+    for name, kind in frame.dtypes.items():
+        if isinstance(kind, pd.DatetimeTZDtype):
+            frame[name] = frame[name].dt.tz_convert(zone).dt.tz_localize(None)
+    return frame
 
 
 def _dump(state: tuple | None) -> str | None:

@@ -144,7 +144,7 @@ def finalised_reviews(rows: DataFrame) -> DataFrame:
     return rows.filter(status.isin("verified", "ok", "train") & is_strict(F.col("verified_vin")))
 
 
-def missing_evidence(sessions: DataFrame, status: str = "status", path: str = "image_path", failures: Sequence[str] = ("TIMEOUT", "NO_READ", "FAILED", "PARTIAL_SUCCESS")) -> DataFrame:
+def missing_evidence(sessions: DataFrame, status: str = "status", path: str = "image_path", failures: Sequence[str] = ("NO_READ", "TIMEOUT", "OCR_AMBIGUOUS")) -> DataFrame:
     """failed sessions without an evidence path."""
     return sessions.filter(F.col(status).isin(list(failures)) & (F.coalesce(F.trim(path), F.lit("")) == ""))
 

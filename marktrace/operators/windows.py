@@ -143,8 +143,11 @@ def review_rank(df: DataFrame, character: Column, priority: Sequence[str], confi
             "_slot": F.lit(0.0),
         }
     )
-    # a number that never decreases along (class_rank, -confidence) lets one class span many slices
-    rated = rated.withColumn("_slot", F.col("class_rank") * 4.0 - F.coalesce(F.col(confidence), F.lit(-1.0)))
+    # a number that never decreases along (class_rank, -confidence) lets one class span many slices: confidences
+    # of any size are drawn into (-1, 1) without changing their order; NaN sorts above, NULL below all others
+    value = F.col(confidence).cast("double")
+    drawn = F.when(F.isnan(value), 1.5).when(F.abs(value) == float("inf"), F.signum(value)).otherwise(value / (1 + F.abs(value)))
+    rated = rated.withColumn("_slot", F.col("class_rank") * 4.0 - F.coalesce(drawn, F.lit(-1.5)))
     rows = order_rows(rated, [], ["class_rank", f"-{confidence}", tie], slice_on="_slot")
     return ranked(rows, "position").plain().drop("_slot")
 
@@ -202,14 +205,19 @@ def group_split(df: DataFrame, group: str, fractions: dict[str, float]) -> DataF
     return ordered_fold(rows, step, "split string").drop("_neg", "_slice")
 
 
+def _absent(value) -> bool:
+    return value is None or value != value
+
+
 def retry_admission(rows: Ordered, min_remaining: float = 0.75, gain: float = 0.05) -> DataFrame:
     """Admit an attempt that is the first, brings new evidence or clearly better quality.
 
-    Columns: signature, quality, remaining_sec (nullable), exited. State: signature, quality, terminal reason.
+    Columns: signature, quality, remaining_sec (nullable), exited. State: signature, quality, terminal reason, whether an attempt was admitted.
+    A NULL signature is a signature like any other; a NULL quality never counts as better.
     """
 
     def step(state, run):
-        sig, best, ended = state if state else (None, None, None)
+        sig, best, ended, begun = state if state else (None, None, None, False)
         started = state is not None
         allowed, reasons = [], []
         for s, q, rem, out in zip(run["signature"], run["quality"], run["remaining_sec"], run["exited"]):
@@ -218,20 +226,20 @@ def retry_admission(rows: Ordered, min_remaining: float = 0.75, gain: float = 0.
                 ended = reason = "EXITED"
             elif rem is not None and rem == rem and rem < min_remaining:
                 ended = reason = "INSUFFICIENT_DEADLINE"
-            elif sig is None and ended is None:
-                ok, reason, sig, best = True, "RETRY_ALLOWED", s, q
+            elif not begun and ended is None:
+                ok, reason, sig, best, begun = True, "RETRY_ALLOWED", s, q, True
             elif ended is not None:
                 reason = ended
-            elif s != sig:
+            elif not (_absent(s) and _absent(sig)) and s != sig:
                 ok, reason, sig, best = True, "NEW_EVIDENCE", s, q
-            elif q >= best + gain:
+            elif not _absent(q) and (_absent(best) or q >= best + gain):
                 ok, reason, best = True, "IMPROVED_QUALITY", q
             else:
                 reason = "STABLE_AMBIGUITY"
             started = True
             allowed.append(ok)
             reasons.append(reason)
-        return ((sig, best, ended) if started else None), {"allowed": allowed, "reason": reasons}
+        return ((sig, best, ended, begun) if started else None), {"allowed": allowed, "reason": reasons}
 
     return ordered_fold(rows, step, "allowed boolean, reason string").drop("_slice")
 

@@ -6,9 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from marktrace.operators.ordered import step_frame
 
 FEATURES = "width int, height int, mean double, std double, blur double, dark_ratio double, bright_ratio double, saturated_ratio double"
 
@@ -36,16 +40,22 @@ def image_features(images: DataFrame, ids: Sequence[str]) -> DataFrame:
     """
     names = [f.name for f in T.StructType.fromDDL(FEATURES)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for h, w, c, d in zip(b["height"], b["width"], b["channels"], b["data"]):
-                fine = d is not None and not pd.isna(h) and h > 0 and w > 0 and c > 0
-                rows.append(features_of(_gray(int(h), int(w), int(c), bytes(d))) if fine else (None,) * len(names))
-            yield pd.concat([b[list(ids)].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+            rows = [features_of(g) if g is not None else (None,) * len(names) for g in _readable(b)]
+            made = [pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in ids), *made], names=[*ids, *names])
 
     schema = T.StructType([*[images.schema[i] for i in ids], *T.StructType.fromDDL(FEATURES).fields])
-    return images.select(*ids, "height", "width", "channels", "data").mapInPandas(run, schema)
+    types = [f.type for f in to_arrow_schema(T.StructType.fromDDL(FEATURES))]
+    return images.select(*ids, "height", "width", "channels", "data").mapInArrow(run, schema)
+
+
+def _readable(batch: pa.RecordBatch) -> Iterator[np.ndarray | None]:
+    """Gray images of a batch, None where one cannot be read."""
+    for h, w, c, d in zip(*(batch.column(n).to_pylist() for n in ("height", "width", "channels", "data"))):
+        fine = d is not None and all(v is not None and v > 0 for v in (h, w, c))
+        yield _gray(h, w, c, d) if fine else None
 
 
 def _area(gray: np.ndarray, rows: int, cols: int) -> np.ndarray:
@@ -69,16 +79,13 @@ def difference_hash(gray: np.ndarray) -> int:
 def image_hashes(images: DataFrame, ids: Sequence[str]) -> DataFrame:
     """64-bit row-gradient hash; NULL for unreadable images."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for h, w, c, d in zip(b["height"], b["width"], b["channels"], b["data"]):
-                fine = d is not None and not pd.isna(h) and h > 0 and w > 0 and c > 0
-                out.append(difference_hash(_gray(int(h), int(w), int(c), bytes(d))) if fine else None)
-            yield b[list(ids)].assign(hash=pd.array(out, dtype="Int64"))
+            made = pa.array([difference_hash(g) if g is not None else None for g in _readable(b)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in ids), made], names=[*ids, "hash"])
 
     schema = T.StructType([*[images.schema[i] for i in ids], T.StructField("hash", T.LongType())])
-    return images.select(*ids, "height", "width", "channels", "data").mapInPandas(run, schema)
+    return images.select(*ids, "height", "width", "channels", "data").mapInArrow(run, schema)
 
 
 def score_batch(df: DataFrame, inputs: Sequence[str], predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -88,16 +95,21 @@ def score_batch(df: DataFrame, inputs: Sequence[str], predict: Callable[[pd.Data
     names = [f.name for f in T.StructType.fromDDL(schema)]
     cols = list(inputs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = [f.type for f in to_arrow_schema(T.StructType.fromDDL(schema))]
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.reset_index(drop=True)
             try:
-                got = predict(b[cols]).reset_index(drop=True)[names]
-                yield pd.concat([b, got], axis=1).assign(error=None)
+                got = predict(step_frame(b.select(cols), zone)).reset_index(drop=True)[names]
+                made, error = [pa.array(got[n], t, from_pandas=True) for n, t in zip(names, types)], None
+                if len(got) != b.num_rows:
+                    raise ValueError(f"{len(got)} predictions for {b.num_rows} rows")
             except Exception as err:  # noqa: BLE001
-                yield b.assign(**dict.fromkeys(names), error=f"{type(err).__name__}: {err}")
+                made, error = [pa.nulls(b.num_rows, t) for t in types], f"{type(err).__name__}: {err}"
+            yield pa.RecordBatch.from_arrays([*b.columns, *made, pa.array([error] * b.num_rows, pa.string())], names=out.names)
 
-    return df.mapInPandas(run, out)
+    return df.mapInArrow(run, out)
 
 
 def explode_positions(df: DataFrame, text: str) -> DataFrame:

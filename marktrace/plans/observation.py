@@ -19,7 +19,7 @@ def observation_report(edges: DataFrame, suppressed: DataFrame, sessions: DataFr
     e = A.edge_totals(edges)
     gaps = A.interval_summary(edges, [], "since_rising_ms").select(F.col("min_s").alias("min_interval_s"), F.col("median_s").alias("median_interval_s"), F.col("max_s").alias("max_interval_s"))
     sup = suppressed.agg(F.count(F.lit(1)).alias("suppressed"))
-    failed = F.col("status").isin("TIMEOUT", "NO_READ", "FAILED", "PARTIAL_SUCCESS") & (F.coalesce(F.trim("image_path"), F.lit("")) == "")
+    failed = F.col("status").isin("NO_READ", "TIMEOUT", "OCR_AMBIGUOUS") & (F.coalesce(F.trim("image_path"), F.lit("")) == "")
     s = sessions.agg(F.count(F.lit(1)).alias("records"), F.count_if(failed).alias("missing_evidence"))
     dup = sessions.filter(is_real(F.col("identifier"), SENTINELS)).groupBy("identifier").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
     lat = A.latency_summary(engines, [], "latency_ms").select(F.col("mean").alias("mean_latency_ms"), F.col("p95").alias("p95_latency_ms"))

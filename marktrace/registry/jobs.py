@@ -174,10 +174,10 @@ def h6(spark, sf):
 
 
 def pixels(spark, sf):
-    """Whole document texts as gray images, 64 bytes per row."""
+    """Whole document texts as gray images, 64 bytes per row, the last row filled up with zeros."""
     raw = F.encode("text", "UTF-8")
-    rows = F.floor(F.octet_length(raw) / 64).cast("int")
-    return table(spark, sf, "documents").select("doc_id", rows.alias("height"), lit(64).alias("width"), lit(1).alias("channels"), raw.alias("data"))
+    rows = F.ceil(F.octet_length(raw) / 64).cast("int")
+    return table(spark, sf, "documents").select("doc_id", rows.alias("height"), lit(64).alias("width"), lit(1).alias("channels"), F.rpad(raw, rows * 64, F.unhex(lit("00"))).alias("data"))
 
 
 @query("g1_image_features")
@@ -190,7 +190,7 @@ def g2(spark, sf):
     return I.image_hashes(pixels(spark, sf), ["doc_id"])
 
 
-@query("g1_brightness", "WITH b AS (SELECT doc_id, encode(text) AS d, octet_length(encode(text)) // 64 AS h FROM documents) SELECT doc_id, CASE WHEN h > 0 THEN 64 END::INTEGER AS width, CASE WHEN h > 0 THEN h END::INTEGER AS height FROM b")
+@query("g1_brightness", "WITH b AS (SELECT doc_id, encode(text) AS d, (octet_length(encode(text)) + 63) // 64 AS h FROM documents) SELECT doc_id, CASE WHEN h > 0 THEN 64 END::INTEGER AS width, CASE WHEN h > 0 THEN h END::INTEGER AS height FROM b")
 def g1b(spark, sf):
     return g1(spark, sf).select("doc_id", "width", "height")
 
@@ -253,11 +253,11 @@ def h9b(spark, sf):
 
 @query(
     "h10_active_learning",
-    """SELECT p_partkey AS session_id, count(*) AS n, count(*) FILTER (cf < 0.85) AS low FROM (SELECT p_partkey, i, ((p_partkey * i) % 100) / 100.0 AS cf, ((p_partkey * i) % 7) / 10.0 AS sc FROM part, (SELECT unnest(range(1, 7)) AS i)) WHERE cf < 0.85 OR cf - sc < 0.10 GROUP BY 1""",
+    """SELECT p_partkey AS session_id, count(*) AS n, count(*) FILTER (cf < 0.85) AS low FROM (SELECT p_partkey, i, ((p_partkey * i) % 100) / 100.0 AS cf, ((p_partkey * i) % 7) / 10.0 AS sc FROM (SELECT p_partkey, unnest(range(1, length(p_name) + 1)) AS i FROM part)) WHERE cf < 0.85 OR cf - sc < 0.10 GROUP BY 1""",
 )
 def h10(spark, sf):
     k = c("p_partkey")
-    p = table(spark, sf, "part").select(k.alias("session_id"), "p_name", "p_size", F.explode(F.sequence(lit(1), lit(6))).alias("i"))
+    p = table(spark, sf, "part").select(k.alias("session_id"), "p_name", "p_size", F.explode(F.sequence(lit(1), F.length("p_name"))).alias("i"))
     ch = F.upper(F.substr("p_name", c("i"), lit(1)))
     pos = p.select(
         "session_id", (c("i") - 1).alias("position"), F.when(ch == "", "X").otherwise(ch).alias("char"), lit("A").alias("gated"),

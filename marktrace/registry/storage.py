@@ -23,10 +23,10 @@ def s1(spark, sf):
     return there.unionByName(R.read_sessions(spark, path + "-absent", o.schema))
 
 
-@query("s2_day_csv", "SELECT event_id, value, strftime(ts, '%Y%m%d') AS file_day FROM events WHERE event_type = 'error'")
+@query("s2_day_csv", "SELECT event_id, value, strftime(ts, '%Y%m%d') AS file_day FROM events")
 def s2(spark, sf):
     path = scratch_path(spark, "s2")
-    ev = table(spark, sf, "events").filter("event_type = 'error'").select("event_id", "value", F.date_format("ts", "yyyyMMdd").alias("day"))
+    ev = table(spark, sf, "events").select("event_id", "value", F.date_format("ts", "yyyyMMdd").alias("day"))
     ev.write.partitionBy("day").option("header", True).csv(path)
     schema = ev.drop("day").schema
     # day folders stand in for the day-stamped names a lander would write
@@ -44,10 +44,10 @@ def s3(spark, sf):
     return rows.crossJoin(F.broadcast(bad))  # ``bad`` is one count
 
 
-@query("s4_sidecars", "SELECT c_custkey AS item, c_name AS name FROM customer WHERE c_custkey % 20 = 0")
+@query("s4_sidecars", "SELECT c_custkey AS item, c_name AS name FROM customer")
 def s4(spark, sf):
     path = scratch_path(spark, "s4")
-    cu = table(spark, sf, "customer").filter("c_custkey % 20 = 0").select(c("c_custkey").alias("item"), c("c_name").alias("name"), (c("c_custkey") % 7).alias("grp"))
+    cu = table(spark, sf, "customer").select(c("c_custkey").alias("item"), c("c_name").alias("name"), (c("c_custkey") % 7).alias("grp"))
     cu.write.partitionBy("grp").json(path)
     schema = cu.select("item", "name").schema
     df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
@@ -225,12 +225,26 @@ def m3(spark, sf):
     return M.backfill_session_keys(M.backfill_session_keys(o, "o_orderkey"), "o_orderkey")
 
 
+@query(
+    "k5_older_batch",
+    """WITH b AS (SELECT o_custkey, o_orderkey AS seq, o_orderstatus AS s, o_orderstatus = 'F' AS terminal FROM orders)
+    SELECT o_custkey, arg_max(s, (terminal, seq)) AS status, arg_max(seq, (terminal, seq)) AS seq FROM b GROUP BY 1""",
+)
+def k5_older(spark, sf):
+    """A newer batch, then an older one, then the newer one again."""
+    o = table(spark, sf, "orders").select("o_custkey", c("o_orderkey").alias("seq"), c("o_orderstatus").alias("status"), (c("o_orderstatus") == "F").alias("terminal"))
+    newer, older = o.filter("seq % 2 = 0"), o.filter("seq % 2 = 1")
+    order = ["terminal", "seq"]
+    target = K.upsert(K.upsert(newer.limit(0), newer, "o_custkey", order), older, "o_custkey", order)
+    return K.upsert(target, newer, "o_custkey", order).select("o_custkey", "status", "seq")
+
+
 @query("m3_backfill_report", "SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 3 > 0) AS to_fill FROM orders")
 def m3b(spark, sf):
     return M.backfill_report(table(spark, sf, "orders").select(F.when(c("o_orderkey") % 3 == 0, c("o_orderpriority")).alias("session_id")))
 
 
-@query("u1_day_union", "SELECT strftime(ts, '%Y%m%d') AS file_day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
+@query("u1_day_union", "SELECT strftime(ts, '%Y%m%d') AS file_day, count(*) AS n FROM events GROUP BY 1")
 def u1(spark, sf):
     return s2(spark, sf).groupBy("file_day").agg(F.count(lit(1)).alias("n"))
 

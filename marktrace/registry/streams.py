@@ -53,11 +53,15 @@ def st2(spark, sf):
     return out.filter("record = 'session'").select("user_id", "session_id", "start_ms", "exit_ms", "finalised_ms", "status", "identifier", "confidence", "tag")
 
 
-@query("st5_stream_latest", "SELECT event_id, user_id FROM events")
+@query(
+    "st5_stream_latest",
+    """WITH h AS (SELECT event_id, user_id, epoch_us(ts) AS t, sum(CASE WHEN before IS NULL OR epoch_us(ts) - before >= 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS entry
+      FROM (SELECT *, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS before FROM events))
+    SELECT user_id, arg_max(event_id, (t, event_id)) AS event_id FROM h GROUP BY user_id, entry""",
+)
 def st5(spark, sf):
-    once = arriving(spark, sf).select("event_id", "user_id", "ts")
-    twice = once.unionByName(arriving(spark, sf).select("event_id", "user_id", "ts"))
-    return drain(SE.stream_latest(twice, ["event_id"], "ts", "40 days"), "st5").select("event_id", "user_id")
+    hits = arriving(spark, sf, clock=True).select("user_id", "ts", "event_id")
+    return drain(SE.stream_latest(hits, ["user_id"], "ts", "24 hours"), "st5").filter("event_id >= 0").select("user_id", "event_id")
 
 
 @query("st6_stream_repeats", SQL["w8_repeat_suppression"])

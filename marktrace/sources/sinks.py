@@ -46,9 +46,13 @@ def last_per_key(batch: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """K5: newest row per key of the batch replaces or joins the target. Replaying a batch changes nothing."""
-    new = last_per_key(batch, key, order)
-    return target.join(new.select(key), key, "left_anti").select(*target.columns).unionByName(new, allowMissingColumns=True)
+    """K5: the newest row per key of target and batch together, by ``order`` (e.g. terminal flag, then time).
+
+    A replayed or older batch changes nothing; of rows with equal order the batch's one stays. Where the target
+    lacks an order column its rows count as oldest.
+    """
+    both = target.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    return last_per_key(both, key, [*order, "_new"]).drop("_new")
 
 
 def insert_new(target: DataFrame, batch: DataFrame, key: str, order: Sequence[str], ident: str = "id") -> tuple[DataFrame, DataFrame]:

@@ -94,8 +94,14 @@ def stream_health(events: DataFrame, keys: Sequence[str], ts_ms: str, tie: str,
 
 
 def stream_latest(hits: DataFrame, keys: Sequence[str], ts: str, ttl: str = "60 seconds") -> DataFrame:
-    """ST5: one row per key within the time to live; state is dropped by the watermark."""
-    return hits.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(list(keys))
+    """ST5: the latest hit of each key, emitted when no newer one came within the time to live.
+
+    Hits of a key less than ``ttl`` apart are one entry of the cache; it holds the newest, and state is dropped
+    when the watermark shows that the entry has expired.
+    """
+    rest = [c for c in hits.columns if c not in keys]
+    held = hits.withWatermark(ts, ttl).groupBy(F.session_window(ts, ttl), *keys).agg(F.max_by(F.struct(*rest), F.struct(ts, *[c for c in rest if c != ts])).alias("_r"))
+    return held.select(*keys, "_r.*").select(*hits.columns)
 
 
 def stream_log_counts(logs: DataFrame, ts: str, keys: Sequence[str], width: str = "1 minute", delay: str = "1 minute") -> DataFrame:
@@ -110,12 +116,15 @@ def stream_presence(events: DataFrame, ts: str, keys: Sequence[str], gap: str, d
     return s.select(*keys, F.col("session_window.start").alias("opened"), "last_seen", "frames")
 
 
-def stream_tag_join(hits: DataFrame, windows: DataFrame, key: str, delay: str = "10 seconds") -> DataFrame:
+def stream_tag_join(hits: DataFrame, windows: DataFrame, key: str, longest: str, delay: str = "10 seconds") -> DataFrame:
     """ST4: stream-stream interval join of tag hits with read windows, both sides watermarked.
 
-    hits: key, epc, rssi, hit_ts; windows: key, session_id, window_start, window_end.
+    hits: key, epc, rssi, hit_ts; windows: key, session_id, window_start, window_end. ``longest`` is how long
+    windows may be (e.g. "10 minutes"): it bounds the kept state, and a longer window stops the stream with an error.
     """
     h = hits.withWatermark("hit_ts", delay)
     w = windows.withColumnRenamed(key, "_wk").withWatermark("window_start", delay)
-    cond = (F.col(key) == F.col("_wk")) & (F.col("hit_ts") >= F.col("window_start")) & (F.col("hit_ts") <= F.col("window_end")) & (F.col("hit_ts") <= F.col("window_start") + F.expr("INTERVAL 1 MINUTE"))
+    cond = (F.col(key) == F.col("_wk")) & (F.col("hit_ts") >= F.col("window_start")) & (F.col("hit_ts") <= F.col("window_end")) & (F.col("hit_ts") <= F.col("window_start") + F.expr(f"INTERVAL {longest}"))
+    too_long = F.col("window_end") > F.col("window_start") + F.expr(f"INTERVAL {longest}")
+    w = w.withColumn("window_end", F.when(too_long, F.raise_error(F.lit("window longer than the stated bound")).cast("timestamp")).otherwise(F.col("window_end")))
     return h.join(w, cond).drop("_wk")
