@@ -11,6 +11,7 @@ from marktrace.functions.decisions import percent
 from marktrace.functions.tags import SENTINELS, is_real
 from marktrace.operators.joins import skew_join
 from marktrace.operators.ordered import order_rows, running
+from marktrace.session import settle
 
 
 def edge_totals(edges: DataFrame) -> DataFrame:
@@ -38,17 +39,18 @@ def duplicate_excess(df: DataFrame, value: str, sentinels: Sequence[str] = SENTI
 def exact_rank_pick(df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Column]) -> DataFrame:
     """Exact order statistics: the value at a 1-based rank per key; ``picks`` are rank expressions over ``n``.
 
-    Equal values are counted first, so what is ordered is one row per distinct value; ranks come from a
-    running count that also works when one key holds most of the values.
+    Equal values are counted first and stored, so what is ordered is one row per distinct value and the input is
+    read once; ranks come from a running count that also works when one key holds most of the values. The
+    result has ``n`` and the mean as ``_mean``.
     """
-    values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    values = settle(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
     rows = order_rows(values, keys, [value])
     upto = running(rows, sums={"_upto": F.col("_c")}).plain()
-    total = values.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    total = values.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("_mean"))
     wanted = total.withColumns({f"_r_{n}": r.cast("long") for n, r in picks.items()})
     joined = skew_join(upto, wanted, keys, "inner") if keys else upto.crossJoin(F.broadcast(wanted))
     # the value whose running count first reaches the rank
-    return joined.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("_upto") >= F.col(f"_r_{n}"), F.col(value))).alias(n) for n in picks])
+    return joined.groupBy(*keys, "n", "_mean").agg(*[F.min(F.when(F.col("_upto") >= F.col(f"_r_{n}"), F.col(value))).alias(n) for n in picks])
 
 
 def p95_rank(n: Column, rule: str = "floor_n_minus_1") -> Column:
@@ -64,9 +66,7 @@ def latency_summary(df: DataFrame, keys: Sequence[str], value: str, rule: str =
     picks = exact_rank_pick(
         df, keys, value, {"lo": F.floor((n + 1) / 2), "hi": F.floor((n + 2) / 2), "p95": p95_rank(n, rule)}
     )
-    mean = df.groupBy(*keys).agg(F.avg(value).alias("mean"))
-    out = picks.join(mean, list(keys)) if keys else picks.crossJoin(F.broadcast(mean))
-    return out.select(*keys, "n", F.round("mean", digits).alias("mean"), F.round((F.col("lo") + F.col("hi")) / 2, digits).alias("p50"), F.round("p95", digits).alias("p95"))
+    return picks.select(*keys, "n", F.round("_mean", digits).alias("mean"), F.round((F.col("lo") + F.col("hi")) / 2, digits).alias("p50"), F.round("p95", digits).alias("p95"))
 
 
 def interval_summary(df: DataFrame, keys: Sequence[str], ms: str) -> DataFrame:

@@ -53,6 +53,18 @@ def st2(spark, sf):
     return out.filter("record = 'session'").select("user_id", "session_id", "start_ms", "exit_ms", "finalised_ms", "status", "identifier", "confidence", "tag")
 
 
+@query(
+    "st4_stream_tag_join",
+    """SELECT w.event_id AS session_id, h.event_id AS tag, w.user_id FROM events w JOIN events h ON h.user_id = w.user_id AND h.ts BETWEEN w.ts AND w.ts + INTERVAL 20 HOUR
+    WHERE w.event_type = 'signup' AND h.event_type = 'click'""",
+)
+def st4(spark, sf):
+    hits = arriving(spark, sf).filter("event_type = 'click'").select("user_id", c("event_id").alias("tag"), c("ts").alias("hit_ts"))
+    opened = arriving(spark, sf).filter("event_type = 'signup'")
+    windows = opened.select("user_id", c("event_id").alias("session_id"), c("ts").alias("window_start"), (c("ts") + F.expr("INTERVAL 20 HOURS")).alias("window_end"))
+    return drain(SE.stream_tag_join(hits, windows, "user_id", "20 HOURS"), "st4").select("session_id", "tag", "user_id")
+
+
 @query(
     "st5_stream_latest",
     """WITH h AS (SELECT event_id, user_id, epoch_us(ts) AS t, sum(CASE WHEN before IS NULL OR epoch_us(ts) - before >= 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS entry

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marktrace.session import scratch_path, settle
 from marktrace.functions.decisions import unit
 from marktrace.functions.text import is_strict
 
@@ -115,6 +116,20 @@ def restore_report(source: DataFrame, copy: DataFrame, key: str) -> DataFrame:
     )
 
 
+def copy_checked(spark: SparkSession, source: DataFrame, path: str, key: str, dry_run: bool = False) -> DataFrame:
+    """Stage a copy, compare it with its source, and publish it only if both hold the same rows per key.
+
+    Returns the comparison; with ``dry_run``, or where it finds a difference, nothing appears at ``path``.
+    """
+    staged = scratch_path(spark, "staged")
+    source.write.parquet(staged)
+    copy = spark.read.schema(source.schema).parquet(staged)
+    report = settle(restore_report(source, copy, key))
+    if report.first()["intact"] and not dry_run:
+        publish(spark, copy, path)
+    return report
+
+
 def publish(spark: SparkSession, df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Write a snapshot; an existing one is kept unless told otherwise."""
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
