@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -42,7 +43,7 @@ def stream_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], st
                 current, rows = on_timer(current, state.getCurrentWatermarkMs())
                 results.append(rows)
         else:
-            batch = pd.concat(list(frames)).sort_values(list(order), kind="stable").reset_index(drop=True)
+            batch = exact(pd.concat(list(frames))).sort_values(list(order), kind="stable").reset_index(drop=True)
             behind = batch[ts] < last if last is not None else pd.Series(False, index=batch.index)
             for late, part in ((True, batch[behind]), (False, batch[~behind])):
                 if len(part):
@@ -58,5 +59,12 @@ def stream_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], st
             if len(rows):
                 yield shape(key, rows)
 
+    def exact(frame: pd.DataFrame) -> pd.DataFrame:
+        made = {n: [None if v is None else int(v) for v in frame[n]] for n in whole}
+        return frame.assign(**{n: pd.Series(v, index=frame.index, dtype=object if None in v else "int64") for n, v in made.items()})
+
+    # whole numbers travel as text: pandas would turn a column with a NULL into floats and lose digits
+    whole = [f.name for f in stream.schema.fields if f.name not in keys and isinstance(f.dataType, (T.LongType, T.IntegerType))]
+    stream = stream.withColumns({n: F.col(n).cast("string") for n in whole})
     timeout = GroupStateTimeout.EventTimeTimeout if timer_at else GroupStateTimeout.NoTimeout
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, STATE, "append", timeout)
