@@ -90,6 +90,16 @@ def st8(spark, sf):
     return SS.latest_snapshot(spark, root).select("user_id", "status", "event_id")
 
 
+@query("st8_existing_table", "SELECT user_id, arg_max(status, (event_id, late)) AS status, max(event_id) AS event_id FROM (SELECT user_id, event_type AS status, event_id, 1 AS late FROM events UNION ALL SELECT c_custkey, 'KNOWN', c_custkey, 0 FROM customer) GROUP BY 1")
+def st8_existing(spark, sf):
+    """The stream joins a table that is there already; some of its rows are newer than the stream's."""
+    root = scratch_path(spark, "st8")
+    known = table(spark, sf, "customer").select(c("c_custkey").alias("user_id"), lit("KNOWN").alias("status"), c("c_custkey").alias("event_id"))
+    s = arriving(spark, sf).select("user_id", c("event_type").alias("status"), "event_id")
+    drain_batches(s, "st8", SS.snapshot_writer(spark, root, "user_id", ["event_id"], known))
+    return SS.latest_snapshot(spark, root).select("user_id", "status", "event_id")
+
+
 @query(
     "st9_queue_admission",
     """WITH RECURSIVE s AS (SELECT user_id % 20 AS station, event_id, event_type IN ('signup', 'click', 'view') AS inn, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS rn FROM events),

@@ -96,25 +96,29 @@ def stream_sessions(events: DataFrame, keys: Sequence[str], p: SessionParams, t:
     return stream_fold(events, keys, [ts, tie], step, DDL, on_timer, timer_at)
 
 
-def snapshot_writer(spark: SparkSession, root: str, key: str, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def snapshot_writer(spark: SparkSession, root: str, key: str, order: Sequence[str], initial: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """ST8: foreachBatch function that keeps a keyed table as numbered snapshots.
 
-    Batch ``n`` reads snapshot ``n - 1`` and writes ``n``, so replaying a batch after a failure rewrites the
-    same folder with the same rows.
+    Batch 0 starts from ``initial``, the table that exists already; batch ``n`` reads snapshot ``n - 1`` and writes
+    ``n``, so replaying a batch after a failure rewrites the same folder with the same rows.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        path = f"{root}/v={epoch}"
-        if epoch == 0:
-            merged = upsert(batch.limit(0), batch, key, order)
+        if epoch:
+            before = batch.sparkSession.read.parquet(f"{root}/v={epoch - 1}")
         else:
-            merged = upsert(batch.sparkSession.read.parquet(f"{root}/v={epoch - 1}"), batch, key, order)
-        merged.write.mode("overwrite").parquet(path)
+            before = batch.limit(0) if initial is None else initial
+        upsert(before, batch, key, order).write.mode("overwrite").parquet(f"{root}/v={epoch}")
 
     return write
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """Newest complete snapshot below ``root``."""
-    versions = spark.read.parquet(root).selectExpr("max(v)").first()[0]
-    return spark.read.parquet(f"{root}/v={versions}")
+    """Newest complete snapshot below ``root``; only folder names are looked at."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(top)]
+    complete = [int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(hadoop.Path(p, "_SUCCESS"))]
+    return spark.read.parquet(f"{root}/v={max(complete)}")
+
