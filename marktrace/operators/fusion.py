@@ -118,7 +118,7 @@ def choose_positions(votes: DataFrame, keys: Sequence[str], rules: DataFrame, p:
     # at most one entry per alphabet character
     cells = F.collect_list(F.struct((-F.round("weight", 9)).alias("neg"), "seq", "char", "weight", "reads", "variants", "groups"))
     per = votes.groupBy(*keys, "pos").agg(F.array_sort(cells).alias("cells"))
-    j = per.join(F.broadcast(rules), "pos")  # rules: size checked in rule_positions
+    j = per.join(rules, "pos")
     j = j.withColumn("raw_char", F.element_at("cells", 1).char)
 
     def spread(cell: Column) -> Column:

@@ -8,7 +8,7 @@ from compare import compare, connect
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # rows that must also come out right when keys are cut into slices
-SLICED = ["w1_debounce_edges", "w4_trigger_acceptance", "w8_repeat_suppression", "w11_presence_segments", "w13_review_rank", "w15_retention_plan", "w5_ring_counts", "a31_rolling_mean", "a7_latency_p95", "j13_open_session_owner", "j1_result_verdicts"]
+SLICED = ["w1_debounce_edges", "w4_trigger_acceptance", "w8_repeat_suppression", "w11_presence_segments", "w13_review_rank", "w15_retention_plan", "w5_ring_counts", "a31_rolling_mean", "a7_latency_p95", "j13_open_session_owner", "j1_result_verdicts", "w2_pulse_widths", "w9_throttle", "w12_failure_streaks", "w18_capture_wait", "w20_retry_admission", "w21_trigger_numbers", "a6_interval_summary", "a32_latency_percentiles", "h9_curation_queue", "h13_retention_plan"]
 
 
 @pytest.fixture(scope="module")
