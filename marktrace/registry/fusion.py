@@ -95,19 +95,20 @@ def _allowed(m, pos, ch):
 
 
 CHOICE_SQL = READS_SQL.replace("SELECT l_orderkey AS session_id,", "SELECT l_orderkey AS session_id, l_partkey * 1000 + l_suppkey AS seq,") + f""",
-votes AS (SELECT session_id, i AS pos, substr(t, i, 1) AS ch, sum(greatest(greatest(0, ocr_conf) * vw * greatest(0.05, q), 1e-6)) AS w, count(*) AS n, min(seq) AS seq FROM reads, (SELECT unnest(range(1, 8)) AS i) WHERE length(t) = 7 GROUP BY 1, 2, 3),
+votes AS MATERIALIZED (SELECT session_id, i AS pos, substr(t, i, 1) AS ch, sum(greatest(greatest(0, ocr_conf) * vw * greatest(0.05, q), 1e-6)) AS w, count(*) AS n, min(seq) AS seq FROM reads, (SELECT unnest(range(1, 8)) AS i) WHERE length(t) = 7 GROUP BY 1, 2, 3),
 conf AS (SELECT session_id, sum(greatest(0, ocr_conf) * vw * greatest(0.05, q)) / sum(vw * greatest(0.05, q)) AS avg_conf FROM reads WHERE length(t) = 7 GROUP BY 1),
 near AS (SELECT * FROM (VALUES ('8','B'),('B','8'),('0','D'),('D','0'),('6','B'),('B','6'),('5','E'),('E','5'),('1','7'),('7','1')) x(a, b)),
 mv AS (SELECT v.*, m FROM votes v, (VALUES ('ALPHA'), ('BETA')) x(m)),
-tgt AS (SELECT session_id, m, pos, ch, b, count(*) OVER (PARTITION BY session_id, m, pos, ch) AS k, w, seq FROM mv JOIN near ON a = ch WHERE NOT {_allowed('m', 'pos', 'ch')} AND {_allowed('m', 'pos', 'b')}),
+tgt AS MATERIALIZED (SELECT session_id, m, pos, ch, b, count(*) OVER (PARTITION BY session_id, m, pos, ch) AS k, w, seq FROM mv JOIN near ON a = ch WHERE NOT {_allowed('m', 'pos', 'ch')} AND {_allowed('m', 'pos', 'b')}),
 flow AS (SELECT session_id, m, pos, ch AS c, w AS ev, seq FROM mv WHERE {_allowed('m', 'pos', 'ch')} UNION ALL SELECT session_id, m, pos, b, w * 0.6 / k, seq FROM tgt
   UNION ALL SELECT session_id, m, pos, ch, w * 0.5, seq FROM mv WHERE NOT {_allowed('m', 'pos', 'ch')} AND (session_id, m, pos, ch) NOT IN (SELECT session_id, m, pos, ch FROM tgt)),
-ev AS (SELECT session_id, m, pos, c, sum(ev) AS ev, min(seq) AS seq, {_allowed('m', 'pos', 'c')} AS ok FROM flow GROUP BY 1, 2, 3, 4),
-top AS (SELECT session_id, m, pos, sum(ev) AS tot, CASE WHEN pos = 2 THEN 'A' ELSE arg_max(c, (round(ev, 9), -seq)) END AS best FROM ev GROUP BY 1, 2, 3),
+ev AS MATERIALIZED (SELECT session_id, m, pos, c, sum(ev) AS ev, min(seq) AS seq, {_allowed('m', 'pos', 'c')} AS ok FROM flow GROUP BY 1, 2, 3, 4),
+top AS MATERIALIZED (SELECT session_id, m, pos, sum(ev) AS tot, CASE WHEN pos = 2 THEN 'A' ELSE arg_max(c, (round(ev, 9), -seq)) END AS best FROM ev GROUP BY 1, 2, 3),
 raw AS (SELECT session_id, pos, arg_max(ch, (round(w, 9), -seq)) AS raw_char FROM votes GROUP BY 1, 2),
-dec AS (SELECT t.session_id, t.m, t.pos, t.best, raw_char, {_allowed('t.m', 't.pos', 't.best')} AS allowed, coalesce(e.ev, 0) / tot AS prob,
-  (SELECT coalesce(max(r.ev), 0) FROM ev r WHERE r.session_id = t.session_id AND r.m = t.m AND r.pos = t.pos AND r.c <> t.best AND (r.ok OR NOT {_allowed('t.m', 't.pos', 't.best')})) / tot AS second, coalesce(v.n, 0) AS support, v.ch IS NOT NULL AS seen
-  FROM top t JOIN raw USING (session_id, pos) LEFT JOIN ev e ON e.session_id = t.session_id AND e.m = t.m AND e.pos = t.pos AND e.c = t.best LEFT JOIN votes v ON v.session_id = t.session_id AND v.pos = t.pos AND v.ch = t.best),
+sec AS MATERIALIZED (SELECT t.session_id, t.m, t.pos, max(r.ev) AS ev FROM top t JOIN ev r ON r.session_id = t.session_id AND r.m = t.m AND r.pos = t.pos AND r.c <> t.best AND (r.ok OR NOT {_allowed('t.m', 't.pos', 't.best')}) GROUP BY 1, 2, 3),
+dec AS MATERIALIZED (SELECT t.session_id, t.m, t.pos, t.best, raw_char, {_allowed('t.m', 't.pos', 't.best')} AS allowed, coalesce(e.ev, 0) / tot AS prob,
+  coalesce(sec.ev, 0) / tot AS second, coalesce(v.n, 0) AS support, v.ch IS NOT NULL AS seen
+  FROM top t JOIN raw USING (session_id, pos) LEFT JOIN sec ON sec.session_id = t.session_id AND sec.m = t.m AND sec.pos = t.pos LEFT JOIN ev e ON e.session_id = t.session_id AND e.m = t.m AND e.pos = t.pos AND e.c = t.best LEFT JOIN votes v ON v.session_id = t.session_id AND v.pos = t.pos AND v.ch = t.best),
 model AS (SELECT session_id, m, string_agg(best, '' ORDER BY pos) AS fused, count(*) FILTER (allowed) / 7.0::DOUBLE AS comp, 0.5 * (count(*) FILTER (allowed) / 7.0::DOUBLE) + 0.25 * avg(prob) + 0.25 * any_value(avg_conf) AS score FROM dec JOIN conf USING (session_id) GROUP BY 1, 2),
 won AS (SELECT * FROM model QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY comp = 1.0 DESC, round(score, 9) DESC, m) = 1)"""
 
