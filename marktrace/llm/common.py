@@ -39,6 +39,11 @@ def key128(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns), F.xxhash64(F.lit(0x5BD1E995), *columns)]
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktrace.llm.common import stored, whole_text
+from marktrace.llm.common import bind, stored, whole_text
 from marktrace.llm.lines import LOWER, UPPER
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,9 +35,7 @@ def shingles(text: Column, size: int = SHINGLE_WORDS) -> Column:
 
 
 def _shingled(words: Column, size: int) -> Column:
-    # one-element array: binds the words to a name, so that they are extracted once
-    every = F.transform(F.array(words), lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<bigint>")))
-    return F.element_at(every, 1)
+    return bind(words, lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<bigint>")))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -69,10 +67,12 @@ def license_matches(docs: DataFrame, templates: DataFrame, containment: float =
     known = stored(templates, "license-templates")
     sizes = [r["n"] for r in known.select("n").distinct().orderBy("n").collect()]
     all_grams = known.select(F.explode("grams").alias("g")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"), shingles(whole_text()).alias("grams"))
     some = [r["g"] for r in all_grams.limit(literal_shingles + 1).collect()]
-    if len(some) <= literal_shingles:
-        texts = texts.where(F.arrays_overlap("grams", F.lit(some).cast("array<bigint>")) if some else F.lit(False))
+    near = (lambda g: F.arrays_overlap(g, F.lit(some).cast("array<bigint>"))) if len(some) <= literal_shingles else (lambda g: F.size(g) > 0)
+    none = F.array().cast("array<array<bigint>>")
+    # a list of one or no element, so that shingles are made once and not again for a filter
+    chosen = bind(shingles(whole_text()), lambda g: F.when(near(g), F.array(g)).otherwise(none)) if some else none
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"), F.explode(chosen).alias("grams"))
     texts = stored(texts, "license-texts")
     cut = F.array(*(F.lit(n) for n in sizes)) if sizes else F.array().cast("array<int>")
     starts = F.sequence(F.lit(0), F.greatest(F.size("grams") - 1, F.lit(0)), F.col("n"))

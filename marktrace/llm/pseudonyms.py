@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marktrace.llm.common import whole_text
+from marktrace.llm.common import bind, whole_text
 
 ROUNDS = 10
 #: days of a block within which dates are permuted, as a product of two equal factors
@@ -28,20 +28,22 @@ def feistel(symbols: Column, radix: Column, key: str, kind: str, rounds: int = R
     In each round one half has a keyed hash of the other half added, symbol by symbol modulo its radix, which
     can be undone; halves take turns. Symbols of radix 1 never change.
     """
-    half = F.ceil(F.size(symbols) / 2).cast("int")
 
-    def one_round(state: Column, turn: Column) -> Column:
-        left = turn % 2 == 0
-        other = F.array_join(F.when(left, F.slice(state, half + 1, F.greatest(F.size(state) - half, F.lit(0)))).otherwise(F.slice(state, 1, half)), ",")
+    def network(z: Column) -> Column:
+        def one_round(state: Column, turn: Column) -> Column:
+            left, half = turn % 2 == 0, z["half"]
+            other = F.array_join(F.when(left, F.slice(state, half + 1, F.greatest(F.size(state) - half, F.lit(0)))).otherwise(F.slice(state, 1, half)), ",")
 
-        def moved(value: Column, i: Column) -> Column:
-            digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn, i, other), 256)
-            added = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-            return F.when(((i < half) == left) & (F.get(radix, i) > 1), (value + added) % F.get(radix, i)).otherwise(value)
+            def moved(value: Column, i: Column, mark: Column) -> Column:
+                added = F.conv(F.substring(F.sha2(F.concat_ws("|", mark, i), 256), 1, 12), 16, 10).cast("long")
+                return F.when(((i < half) == left) & (F.get(z["radix"], i) > 1), (value + added) % F.get(z["radix"], i)).otherwise(value)
 
-        return F.transform(state, moved)
+            mark = F.concat_ws("|", F.lit(key), F.lit(kind), turn, other)
+            return bind(mark, lambda m: F.transform(state, lambda value, i: moved(value, i, m)))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), symbols, one_round)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), z["symbols"], one_round)
+
+    return bind(F.struct(symbols.alias("symbols"), radix.alias("radix"), F.ceil(F.size(symbols) / 2).cast("int").alias("half")), network)
 
 
 def _letters(text: Column) -> Column:
@@ -58,10 +60,16 @@ def _radix(code: Column) -> Column:
 
 def same_classes(text: Column, key: str, kind: str) -> Column:
     """Digits become digits, ASCII letters letters of the same case; all else stays in place."""
-    code = F.transform(_letters(text), lambda c: F.ascii(c).cast("long"))
-    moved = feistel(F.transform(code, lambda c: c - _base(c)), F.transform(code, lambda c: _radix(c).cast("long")), key, kind)
-    written = F.zip_with(moved, code, lambda v, c: F.when(_radix(c) > 1, F.chr(v + _base(c))))
-    return F.array_join(F.zip_with(written, _letters(text), lambda new, old: F.coalesce(new, old)), "")
+
+    def moved(letters: Column) -> Column:
+        def written(code: Column) -> Column:
+            new = feistel(F.transform(code, lambda c: c - _base(c)), F.transform(code, lambda c: _radix(c).cast("long")), key, kind)
+            made = F.zip_with(new, code, lambda v, c: F.when(_radix(c) > 1, F.chr(v + _base(c))))
+            return F.array_join(F.zip_with(made, letters, lambda new, old: F.coalesce(new, old)), "")
+
+        return bind(F.transform(letters, lambda c: F.ascii(c).cast("long")), written)
+
+    return bind(_letters(text), moved)
 
 
 def digits(text: Column) -> Column:
@@ -70,10 +78,13 @@ def digits(text: Column) -> Column:
 
 def refill(text: Column, new: Column) -> Column:
     """``text`` with its digits replaced one by one by those of ``new``, which has as many."""
-    place = F.transform(_letters(text), lambda c: c.rlike("^[0-9]$").cast("int"))
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
-    done = F.aggregate(F.arrays_zip(_letters(text).alias("c"), place.alias("d")), start, lambda a, x: F.struct(F.concat(a["s"], F.when(x["d"] == 1, F.substr(new, a["n"] + 1, F.lit(1))).otherwise(x["c"])).alias("s"), (a["n"] + x["d"]).alias("n")))
-    return done["s"]
+
+    def step(digits_of: Column, a: Column, c: Column) -> Column:
+        is_digit = c.between("0", "9")
+        return F.struct(F.concat(a["s"], F.when(is_digit, F.substr(digits_of, a["n"] + 1, F.lit(1))).otherwise(c)).alias("s"), (a["n"] + is_digit.cast("int")).alias("n"))
+
+    return bind(new, lambda v: F.aggregate(_letters(text), start, lambda a, c: step(v, a, c))["s"])
 
 
 def _luhn(number: Column) -> Column:
@@ -85,9 +96,12 @@ def _luhn(number: Column) -> Column:
 def card(text: Column, key: str) -> Column:
     """All digits but the last are permuted and the check digit is made anew; other numbers stay."""
     number = digits(text)
-    body = same_classes(F.substr(number, F.lit(1), F.length(number) - 1), key, "card")
-    check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when(_luhn(number) % 10 == 0, refill(text, F.concat(body, check.cast("string")))).otherwise(text)
+
+    def whole(body: Column) -> Column:
+        return F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
+
+    new = bind(same_classes(F.substr(number, F.lit(1), F.length(number) - 1), key, "card"), whole)
+    return F.when(_luhn(number) % 10 == 0, refill(text, new)).otherwise(text)
 
 
 def address(text: Column, key: str) -> Column:
