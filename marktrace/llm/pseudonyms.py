@@ -43,7 +43,7 @@ def feistel(symbols: Column, radix: Column, key: str, kind: str, rounds: int = R
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), z["symbols"], one_round)
 
-    return bind(F.struct(symbols.alias("symbols"), radix.alias("radix"), F.ceil(F.size(symbols) / 2).cast("int").alias("half")), network)
+    return bind(F.named_struct(F.lit("symbols"), symbols, F.lit("radix"), radix, F.lit("half"), F.ceil(F.size(symbols) / 2).cast("int")), network)
 
 
 def _letters(text: Column) -> Column:
@@ -78,11 +78,11 @@ def digits(text: Column) -> Column:
 
 def refill(text: Column, new: Column) -> Column:
     """``text`` with its digits replaced one by one by those of ``new``, which has as many."""
-    start = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
+    start = F.named_struct(F.lit("s"), F.lit(""), F.lit("n"), F.lit(0))
 
     def step(digits_of: Column, a: Column, c: Column) -> Column:
         is_digit = c.between("0", "9")
-        return F.struct(F.concat(a["s"], F.when(is_digit, F.substr(digits_of, a["n"] + 1, F.lit(1))).otherwise(c)).alias("s"), (a["n"] + is_digit.cast("int")).alias("n"))
+        return F.named_struct(F.lit("s"), F.concat(a["s"], F.when(is_digit, F.substr(digits_of, a["n"] + 1, F.lit(1))).otherwise(c)), F.lit("n"), a["n"] + is_digit.cast("int"))
 
     return bind(new, lambda v: F.aggregate(_letters(text), start, lambda a, c: step(v, a, c))["s"])
 
