@@ -59,8 +59,8 @@ def license_matches(docs: DataFrame, templates: DataFrame, containment: float =
     ``containment`` is the best window's, ``first_word`` the place of the first template shingle in the
     earliest matching window, ``n_windows`` the number of matching windows.
 
-    Texts without any template shingle cannot share a band and are passed over, by a literal where all
-    shingles fit into ``literal_shingles``. Null and short texts have no windows; templates of fewer words than
+    Texts and windows without any template shingle cannot share a band and are passed over, by a literal where
+    all shingles fit into ``literal_shingles``. Null and short texts have no windows; templates of fewer words than
     a shingle are ignored. Rows that repeat an id and text are one document here; rows of one id with other
     texts are separate, as are rows without id. Other columns are not read.
     """
@@ -75,8 +75,13 @@ def license_matches(docs: DataFrame, templates: DataFrame, containment: float =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"), F.explode(chosen).alias("grams"))
     texts = stored(texts, "license-texts")
     cut = F.array(*(F.lit(n) for n in sizes)) if sizes else F.array().cast("array<int>")
-    starts = F.sequence(F.lit(0), F.greatest(F.size("grams") - 1, F.lit(0)), F.col("n"))
-    wide = texts.where(F.size("grams") > 0).select("*", F.explode(cut).alias("n")).select("doc_id", "text_key", "grams", "n", F.explode(starts).alias("at"))
+    # windows without any template shingle share no band, so only those around one are looked at
+    hit = (lambda g: F.array_contains(F.lit(some).cast("array<bigint>"), g)) if some and len(some) <= literal_shingles else (lambda g: F.lit(True))
+    places = F.array_compact(F.transform("grams", lambda g, i: F.when(hit(g), i)))
+    around = F.array_distinct(F.flatten(F.transform("places", lambda p: F.array(F.floor(p / F.col("n")) * F.col("n"), (F.floor(p / F.col("n")) - 1) * F.col("n")))))
+    starts = F.transform(F.filter(around, lambda k: k >= 0), lambda k: k.cast("int"))
+    placed = texts.select("*", places.alias("places"))
+    wide = placed.select("*", F.explode(cut).alias("n")).select("doc_id", "text_key", "grams", "n", F.explode(starts).alias("at"))
     windows = wide.select("doc_id", "text_key", "n", "at", F.slice("grams", F.col("at") + 1, F.col("n") * 2).alias("window"))
     banded = windows.select("*", F.posexplode(band_values(F.col("window"), permutations)).alias("band", "value"))
     wanted = known.select(F.col("name").alias("license"), "n", F.posexplode(band_values(F.col("grams"), permutations)).alias("band", "value"))
