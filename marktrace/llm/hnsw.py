@@ -15,6 +15,12 @@ LINKS, BUILD_BEAM = 12, 48
 #: first search beam, nodes expanded at once, queries searched together, queries audited per shard and block
 BEAM, EXPAND, TOGETHER, AUDITED = 16, 4, 512, 256
 RECALL = 0.99
+#: queries looked at for an audit, where few have neighbours
+AUDITED_FROM = 4096
+#: similarities in single precision are right within this
+SLACK = 1e-4
+#: a node met in a beam costs as much as this many in a product; similarities a scan holds at once
+SCAN, SCANNED = 8, 4_000_000
 #: vectors of a shard and of a block of queries, fewer where their dimension makes them larger than BYTES
 ROWS, LEAST_SHARDS, BYTES = 50_000, 8, 64_000_000
 
@@ -137,9 +143,24 @@ class Graph:
         top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         return tuple(np.take_along_axis(x, top, axis=1) for x in (all_ids, all_sims, all_opened))
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) of similarity ``least`` or more; a beam full of such nodes is doubled for that query."""
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    def scans(self, beam: int) -> bool:
+        """Whether comparing a query with all nodes is no more work than searching with this beam."""
+        return SCAN * 2 * self.links * beam >= len(self.vectors)
+
+    def scan(self, q: np.ndarray, todo: np.ndarray, least: float):
+        """Like ``steps`` for the queries ``todo``, each compared with all nodes."""
+        step = max(1, min(TOGETHER, SCANNED // max(len(self.vectors), 1)))
+        for i in range(0, len(todo), step):
+            rows = todo[i : i + step]
+            sims = q[rows] @ self.vectors.T
+            r, c = np.nonzero(sims >= least)
+            yield rows[r], c, sims[r, c]
+
+    def steps(self, q: np.ndarray, least: float, beam: int):
+        """Pairs (query, node) of similarity ``least`` or more with that similarity, some queries at a time.
+
+        A beam full of such nodes is doubled for that query, until comparing it with all nodes is no more work.
+        """
         todo = np.arange(len(q))
         n = len(self.vectors)
         while len(todo):
@@ -154,8 +175,15 @@ class Graph:
                 full = (sims[:, -1] >= least) & (beam < n)
                 later.append(rows[full])
                 r, c = np.nonzero((sims >= least) & ~full[:, None])
-                pairs.append((rows[r], ids[r, c]))
+                yield rows[r], ids[r, c], sims[r, c]
             todo, beam = np.concatenate(later), beam * 2
+            if self.scans(beam):
+                yield from self.scan(q, todo, least)
+                return
+
+    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (query, node) of ``steps``."""
+        pairs = [(a, b) for a, b, _ in self.steps(q, least, beam)]
         return tuple(np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
 
 
@@ -168,19 +196,42 @@ def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return unit(flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
 
 
-def searched(graph: Graph, q: np.ndarray, least: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within ``least``; the beam is doubled until an audit of some queries against all nodes passes."""
-    q32, loose = q.astype(np.float32), least - 1e-4
-    n = len(graph.vectors)
-    audit = np.argsort(mix(np.arange(1, len(q) + 1, dtype=np.uint64)))[:AUDITED]
-    truth = q32[audit] @ graph.vectors.T >= loose
+def audited_beam(graph: Graph, q32: np.ndarray, own: np.ndarray, loose: float, beam: int, recall: float) -> int | None:
+    """The first beam, doubled from ``beam`` on, that passes an audit; None where all nodes should be compared.
+
+    Audited are queries that have a true neighbour besides themselves (``own``, -1 for none): AUDITED of them,
+    or as many as the first AUDITED_FROM queries in hashed order hold. The share ``recall`` of them must have
+    all their neighbours, so that queries of a large group do not outweigh those of small ones.
+    """
+    order = np.argsort(mix(np.arange(1, len(q32) + 1, dtype=np.uint64)))[:AUDITED_FROM]
+    rows, missing = np.zeros(0, np.int64), np.zeros((0, len(graph.vectors)), dtype=bool)
+    for i in range(0, len(order), AUDITED):
+        some = order[i : i + AUDITED]
+        true = q32[some] @ graph.vectors.T >= loose + SLACK / 2
+        inside = np.flatnonzero(own[some] >= 0)
+        true[inside, own[some[inside]]] = False
+        any_true = true.any(axis=1)
+        rows, missing = np.concatenate([rows, some[any_true]])[:AUDITED], np.concatenate([missing, true[any_true]])[:AUDITED]
+        if len(rows) == AUDITED:
+            break
     while True:
-        a, b = graph.within(q32, loose, beam)
-        hit = np.zeros(len(q), dtype=np.int64)
-        np.add.at(hit, a, 1)
-        if beam >= n or hit[audit].sum() >= recall * truth.sum():
-            return a, b
+        left = missing.copy()
+        for a, b, _ in graph.steps(q32[rows], loose, beam):
+            left[a, b] = False
+        if (~left.any(axis=1)).sum() >= recall * len(rows):
+            return beam
         beam *= 2
+        if graph.scans(beam):
+            return None
+
+
+def searched(graph: Graph, q: np.ndarray, least: float, beam: int, recall: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``least`` less SLACK, by the beam that passes the audit or against all nodes."""
+    q32, loose = q.astype(np.float32), least - SLACK
+    beam = audited_beam(graph, q32, np.full(len(q), -1) if own is None else own, loose, beam, recall)
+    steps = graph.steps(q32, loose, beam) if beam else graph.scan(q32, np.arange(len(q)), loose)
+    pairs = [(a, b) for a, b, _ in steps]
+    return tuple(np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
 
 
 def near_vectors(rows: DataFrame, least: float = 0.95, beam: int = BEAM, recall: float = RECALL, shard_rows: int = ROWS, least_shards: int = LEAST_SHARDS) -> DataFrame:
@@ -194,9 +245,9 @@ def near_vectors(rows: DataFrame, least: float = 0.95, beam: int = BEAM, recall:
     not read.
 
     Nodes are dealt to shards by hash; each shard's graph is built by one task and queried with all nodes in
-    blocks. Each pair of shard and block audits its recall against all nodes of the shard for a sample of the
-    block, doubling its beam until ``recall`` is reached; a beam full of linked nodes is doubled for its query,
-    so large groups are found whole. A task returns link counts, and at most one edge per node for the union.
+    blocks. Each pair of shard and block audits a sample of its queries that have neighbours against all nodes
+    of the shard, doubling its beam until the share ``recall`` of them has all neighbours; a beam full of linked
+    nodes is doubled for its query. Where a beam would be more work, queries are compared with all nodes. A task returns link counts, and at most one edge per node for the union.
     """
     number = F.col("embedding")
     sound = F.coalesce(F.forall(number, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(number, lambda x: x != 0), F.lit(False))
@@ -243,7 +294,9 @@ def near_vectors(rows: DataFrame, least: float = 0.95, beam: int = BEAM, recall:
             graph.near.append(flat[at : at + len(v) * width].reshape(len(v), width))
             at += len(v) * width
         q, asked = _vectors(right.column("embedding"), dim), right.column("node").to_numpy()
-        a, b = searched(graph, q, least, beam, recall)
+        own = np.searchsorted(node, asked)
+        own = np.where(node[np.minimum(own, len(node) - 1)] == asked, own, -1)
+        a, b = searched(graph, q, least, beam, recall, own)
         exact = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 100_000]], v[b[i : i + 100_000]]) for i in range(0, len(a), 100_000)] or [np.zeros(0)])
         linked = (exact >= least) & (asked[a] != node[b])
         a, b = a[linked], b[linked]

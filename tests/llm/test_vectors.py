@@ -1,6 +1,6 @@
 import numpy as np
 
-from marktrace.llm.hnsw import Graph, near_vectors, unit
+from marktrace.llm.hnsw import Graph, near_vectors, searched, unit
 
 NAN, INF = float("nan"), float("inf")
 
@@ -63,3 +63,14 @@ def test_graph_finds_large_groups():
     a, _ = Graph(v).build().within(v, 0.95, 16)
     true = (v @ v.T >= 0.95).sum()
     assert 0.99 * true <= len(a) <= true
+
+
+def test_audit_sees_small_groups_beside_a_hot_one():
+    rng = np.random.default_rng(4)
+    hot, lone = rng.normal(size=(1, 32)) + 0.02 * rng.normal(size=(300, 32)), rng.normal(size=(200, 32))
+    v, q = unit(np.concatenate([hot, lone])), unit(np.concatenate([hot[:150] + 0.01, lone + 0.01]))
+    graph = Graph(v.astype(np.float32))
+    ring = np.where(np.arange(500)[:, None] < 300, (np.arange(500)[:, None] + np.arange(1, 25)) % 300, -1)
+    graph.near = [ring.astype(np.int32)]  # no link leads from the hot group to other nodes
+    a, b = searched(graph, q, 0.95, 16, 0.99)
+    assert {(i, i + 150) for i in range(150, 350)} <= set(zip(a.tolist(), b.tolist(), strict=True))
