@@ -20,7 +20,7 @@ AUDITED_FROM = 4096
 #: similarities in single precision are right within this
 SLACK = 1e-4
 #: a node met in a beam costs as much as this many in a product; similarities a scan holds at once
-SCAN, SCANNED = 8, 4_000_000
+SCAN, SCANNED = 8, 2_000_000
 #: vectors of a shard and of a block of queries, fewer where their dimension makes them larger than BYTES
 ROWS, LEAST_SHARDS, BYTES = 50_000, 8, 64_000_000
 
@@ -225,15 +225,46 @@ def audited_beam(graph: Graph, q32: np.ndarray, own: np.ndarray, loose: float, b
             return None
 
 
-def searched(graph: Graph, q: np.ndarray, least: float, beam: int, recall: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within ``least`` less SLACK, by the beam that passes the audit or against all nodes."""
+def search_steps(graph: Graph, q: np.ndarray, least: float, beam: int, recall: float, own: np.ndarray | None = None):
+    """Pairs within ``least`` less SLACK with their similarity, some queries at a time: by the beam that passes the audit or against all nodes."""
     q32, loose = q.astype(np.float32), least - SLACK
     beam = audited_beam(graph, q32, np.full(len(q), -1) if own is None else own, loose, beam, recall)
-    steps = graph.steps(q32, loose, beam) if beam else graph.scan(q32, np.arange(len(q)), loose)
-    pairs = [(a, b) for a, b, _ in steps]
+    return graph.steps(q32, loose, beam) if beam else graph.scan(q32, np.arange(len(q)), loose)
+
+
+def searched(graph: Graph, q: np.ndarray, least: float, beam: int, recall: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``search_steps``."""
+    pairs = [(a, b) for a, b, _ in search_steps(graph, q, least, beam, recall, own)]
     return tuple(np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
 
 
+def folded(graph: Graph, v: np.ndarray, node: np.ndarray, count: np.ndarray, q: np.ndarray, asked: np.ndarray, least: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Link counts of the queries ``asked``, all nodes concerned, and the place of each one's component among them.
+
+    Pairs are verified, counted and merged into the components step by step; only one step's pairs are held.
+    """
+    at = np.searchsorted(node, asked)
+    own = np.where(node[np.minimum(at, len(node) - 1)] == asked, at, -1)
+    both = np.unique(np.concatenate([asked, node]))
+    q_at, v_at, root = np.searchsorted(both, asked), np.searchsorted(both, node), np.arange(len(both))
+    links = np.zeros(len(q), dtype=np.int64)
+    for a, b, sims in search_steps(graph, q, least, beam, recall, own):
+        linked = own[a] != b
+        near = np.flatnonzero(sims < least + SLACK)  # single precision does not tell
+        for i in range(0, len(near), 100_000):
+            some = near[i : i + 100_000]
+            linked[some] &= np.einsum("ij,ij->i", q[a[some]], v[b[some]]) >= least
+        a, b = a[linked], b[linked]
+        if len(a):
+            first, last = int(a.min()), int(a.max()) + 1
+            links[first:last] += np.bincount(a - first, weights=count[b], minlength=last - first).astype(np.int64)
+            x, y = root[q_at[a]], root[v_at[b]]
+            apart = x != y
+            if apart.any():
+                root = labels(len(both), x[apart], y[apart])[root]
+    return links, both, root
+
+
 def near_vectors(rows: DataFrame, least: float = 0.95, beam: int = BEAM, recall: float = RECALL, shard_rows: int = ROWS, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``rows(vec_id, embedding)``.
 
@@ -247,7 +278,8 @@ def near_vectors(rows: DataFrame, least: float = 0.95, beam: int = BEAM, recall:
     Nodes are dealt to shards by hash; each shard's graph is built by one task and queried with all nodes in
     blocks. Each pair of shard and block audits a sample of its queries that have neighbours against all nodes
     of the shard, doubling its beam until the share ``recall`` of them has all neighbours; a beam full of linked
-    nodes is doubled for its query. Where a beam would be more work, queries are compared with all nodes. A task returns link counts, and at most one edge per node for the union.
+    nodes is doubled for its query. Where a beam would be more work, queries are compared with all nodes. A task holds the
+    pairs of one step of queries only, and returns link counts and at most one edge per node for the union.
     """
     number = F.col("embedding")
     sound = F.coalesce(F.forall(number, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(number, lambda x: x != 0), F.lit(False))
@@ -294,15 +326,7 @@ def near_vectors(rows: DataFrame, least: float = 0.95, beam: int = BEAM, recall:
             graph.near.append(flat[at : at + len(v) * width].reshape(len(v), width))
             at += len(v) * width
         q, asked = _vectors(right.column("embedding"), dim), right.column("node").to_numpy()
-        own = np.searchsorted(node, asked)
-        own = np.where(node[np.minimum(own, len(node) - 1)] == asked, own, -1)
-        a, b = searched(graph, q, least, beam, recall, own)
-        exact = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 100_000]], v[b[i : i + 100_000]]) for i in range(0, len(a), 100_000)] or [np.zeros(0)])
-        linked = (exact >= least) & (asked[a] != node[b])
-        a, b = a[linked], b[linked]
-        links = np.bincount(a, weights=count[b], minlength=len(q)).astype(np.int64)
-        both = np.unique(np.concatenate([asked, node]))
-        root = labels(len(both), np.searchsorted(both, asked[a]), np.searchsorted(both, node[b]))
+        links, both, root = folded(graph, v, node, count, q, asked, least, beam, recall)
         child = np.flatnonzero(root != np.arange(len(both)))
         some = np.flatnonzero(links)
         none = np.full(len(some), -1)

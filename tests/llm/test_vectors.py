@@ -1,6 +1,8 @@
+import tracemalloc
+
 import numpy as np
 
-from marktrace.llm.hnsw import Graph, near_vectors, searched, unit
+from marktrace.llm.hnsw import Graph, folded, near_vectors, searched, unit
 
 NAN, INF = float("nan"), float("inf")
 
@@ -74,3 +76,16 @@ def test_audit_sees_small_groups_beside_a_hot_one():
     graph.near = [ring.astype(np.int32)]  # no link leads from the hot group to other nodes
     a, b = searched(graph, q, 0.95, 16, 0.99)
     assert {(i, i + 150) for i in range(150, 350)} <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_pairs_of_a_hot_group_are_not_held():
+    rng = np.random.default_rng(5)
+    v = unit(np.concatenate([rng.normal(size=(1, 8)) + 0.01 * rng.normal(size=(6000, 8)), -np.eye(8)]))
+    node, graph = np.arange(len(v)) * 3, Graph(v.astype(np.float32)).build(12)
+    tracemalloc.start()
+    links, both, root = folded(graph, v, node, np.full(len(v), 2), v, node, 0.95, 16, 0.99)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    true = v @ v.T >= 0.95
+    assert (links == 2 * (true.sum(axis=1) - 1)).all() and (both == node).all() and (root[:6000] == 0).all()
+    assert peak < 8 * true.sum()  # one number per pair alone would be as much
