@@ -19,7 +19,23 @@ SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 #: published shapes of credentials: long hexadecimal strings, cloud access keys, and what follows "password="
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16})(?![0-9A-Za-z])|(?<=(?:password|PASSWORD|Password)=)[^\s\"']+"
-ANY = "|".join([EMAIL, ADDRESS, DATE, PHONE, SOCIAL, CARD, SECRET])
+BEFORE, AFTER = [EMAIL, ADDRESS, DATE, PHONE, SOCIAL], [SECRET]
+
+
+def _gap(*values: str) -> str:
+    """What may stand between digit groups of a card number: no other value starts behind it."""
+    return f"[ -](?!{'|'.join(values)})"
+
+
+def _bounded(form: str) -> str:
+    return f"(?<![0-9A-Za-z])(?:{form})(?![0-9A-Za-z])"
+
+
+_G = _gap(*BEFORE)
+#: published groupings of card numbers, and any other grouping, each of which may end elsewhere
+LONG_CARD = _bounded(f"(?:[0-9]{{4}}{_G}){{4}}[0-9]{{3}}")
+GROUPED_CARD = _bounded(f"[0-9]{{13,19}}|(?:[0-9]{{4}}{_G}){{3}}[0-9]{{4}}|[0-9]{{4}}{_G}[0-9]{{6}}{_G}[0-9]{{4,5}}|[0-9]{{4}}(?:{_G}[0-9]{{3}}){{3}}|[0-9]{{6}}{_G}[0-9]{{13}}")
+LOOSE_CARD = _bounded(f"[0-9](?:(?:{_gap(*BEFORE, LONG_CARD, GROUPED_CARD)})?[0-9]){{12,18}}")
 
 
 def feistel(symbols: Column, radix: Column, key: str, kind: str, rounds: int = ROUNDS) -> Column:
@@ -165,12 +181,25 @@ def pseudonym(text: Column, key: str) -> Column:
     return chosen.when(_is(text, SOCIAL), social(text, key)).when(_is(text, CARD), card(text, key)).otherwise(same_classes(text, key, "secret"))
 
 
+def valid_cards(text: Column) -> Column:
+    """The distinct strings of ``text`` that are card numbers by form and Luhn sum, looked for at each digit group, wherever others end."""
+    forms = [F.regexp_extract_all(text, F.lit(f"(?=({form}))"), F.lit(1)) for form in (LONG_CARD, GROUPED_CARD, LOOSE_CARD)]
+    some = F.array_distinct(F.concat(*forms))
+    return F.when(text.rlike(CARD), F.filter(some, lambda n: _luhn(digits(n)) % 10 == 0)).otherwise(F.array().cast("array<string>"))
+
+
+def any_value(cards: Column) -> Column:
+    """The pattern of all values, of card numbers only ``cards``: a number that is none hides no value behind it."""
+    listed = F.concat(F.lit("(?<![0-9A-Za-z])(?:"), F.array_join(cards, "|"), F.lit(")(?![0-9A-Za-z])"))
+    return F.concat_ws("|", F.lit("|".join(BEFORE)), F.when(F.size(cards) > 0, listed), F.lit("|".join(AFTER)))
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs`` with personal data in ``text`` replaced, plus ``n_replaced``.
 
     Found are mail addresses, IPv4 addresses, dates, phone numbers, social security numbers, card numbers and
     credentials. Numbers and dates are checked (octets, calendar, Luhn sum, issued ranges) and left alone where
-    they fail. Each value is permuted among values of its own format under ``key``, so equal values stay equal
+    they fail. Card numbers are looked for at each digit group, so a number that fails hides none behind it. Each value is permuted among values of its own format under ``key``, so equal values stay equal
     in all documents, different ones differ, and a holder of the key can undo it. Whole texts are scanned; a
     null text stays null with 0 replaced. Rows are independent; an input column n_replaced is replaced.
 
@@ -178,10 +207,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """
     text = whole_text()
     base = docs.drop("n_replaced")
-    found = F.when(text.rlike("[0-9@]|(?i:password=)"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    named = base.withColumn("_found", found)
+    marked = base.withColumn("_any", valid_cards(text)).withColumn("_any", any_value(F.col("_any")))
+    found = F.when(text.rlike("[0-9@]|(?i:password=)"), F.regexp_extract_all(text, F.col("_any"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    named = marked.withColumn("_found", found)
     swapped = named.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
-    gaps = F.split(text, ANY, -1)
+    gaps = F.split(text, F.col("_any"), -1)
     whole = F.array_join(F.flatten(F.zip_with(gaps, F.col("_new"), lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))), "")
     new_text = F.when(F.size("_found") > 0, whole).otherwise(F.col("text"))
     changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x)).cast("long")

@@ -90,3 +90,17 @@ def test_permutations_hit_no_value_twice(spark):
     made = ids.select(date(day, "k").alias("d"), address(net, "k").alias("a"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(number, c.cast("string")))).alias("n"))
     assert made.select("d").distinct().count() == 3000 and made.select("a").distinct().count() == 3000
     assert made.select(card(F.col("n"), "k").alias("c")).distinct().count() == 30_000
+
+
+def test_plain_numbers_hide_no_value(frame):
+    valid, grouped = "4111111111111111", "4111 1111 1111 1111"
+    values = ["415-555-2671", "123-45-6789", "2020-01-15", valid, grouped, "129.38.82.176", "3782 822463 10005", "4111 11111111 1111"]
+    before = ["", "order 12345 ", "case 1234567 ", "room 7 ", "id 1234 ", "ref 1234 1234 1234 ", "no 4111111111111112 ", "x 123456789-"]
+    got = texts(frame([b + v for v in values for b in before] + [grouped + " 12", "no 12345 12345 12345 12"]))
+    for k, v in enumerate(values):
+        alone = got[k * len(before)][0]
+        assert alone != v and re.sub("[0-9]+", "0", alone) == re.sub("[0-9]+", "0", v)
+        for j, b in enumerate(before):
+            if not (b.endswith("-") and v in values[1:4]) and not (v == values[7] and j):
+                assert got[k * len(before) + j] == (b + alone, 1), (b, v)
+    assert got[len(values) * len(before)][0] == got[4 * len(before)][0] + " 12"
