@@ -174,9 +174,9 @@ def apart_pairs(named: DataFrame, texts: DataFrame, words: int, threshold: float
     one = sets.select("row", "root", F.size("elements").alias("total"), F.explode("elements").alias("element"))
     common = stored(one.groupBy("element").agg(F.count("*").alias("texts")), "apart-frequencies")
     ordered = one.join(common, "element").groupBy("row", "root", "total").agg(F.sort_array(F.collect_list(F.struct("texts", "element"))).alias("order"))
-    ordered = stored(ordered.select("row", "root", "total", F.slice("order", 1, F.col("total") - F.ceil(F.col("total") * threshold).cast("int") + 1).alias("first")), "apart-prefixes")
+    ordered = stored(ordered.select("row", "root", "total", F.slice("order", 1, F.col("total") - F.ceil(F.col("total") * threshold - 1e-9).cast("int") + 1).alias("first")), "apart-prefixes")
     places = ordered.select("row", "root", "total", F.posexplode("first").alias("at", "e")).select("row", "root", "total", "at", F.col("e.element").alias("element"))
-    small = places.where(F.col("at") <= F.col("total") - F.ceil(F.col("total") * (2 * threshold / (1 + threshold)))).select("element", *(F.col(c).alias(f"{c}2") for c in ("row", "root", "total", "at")))
+    small = places.where(F.col("at") <= F.col("total") - F.ceil(F.col("total") * (2 * threshold / (1 + threshold)) - 1e-9)).select("element", *(F.col(c).alias(f"{c}2") for c in ("row", "root", "total", "at")))
     smaller = (F.col("total2") < F.col("total")) | ((F.col("total2") == F.col("total")) & (F.col("row2") < F.col("row")))
     enough = 1e-9 + F.least(F.col("total") - F.col("at"), F.col("total2") - F.col("at2")) >= (F.col("total") + F.col("total2")) * (threshold / (1 + threshold))
     met = places.join(small, "element").where(smaller & (F.col("root") != F.col("root2")) & (F.col("total2") >= threshold * F.col("total")) & enough)

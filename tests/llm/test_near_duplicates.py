@@ -6,7 +6,7 @@ import numpy as np
 
 import marktrace.llm.common as common
 from marktrace.llm.common import connected
-from marktrace.llm.minhash import dart_signatures, near_duplicates
+from marktrace.llm.minhash import apart_pairs, dart_signatures, near_duplicates
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -106,3 +106,10 @@ def test_components_in_star_rounds(spark):
     for bound in (common.TASK_EDGES, 20, 1):
         assert {tuple(r) for r in connected(df, task_edges=bound).collect()} == want
     assert connected(df.limit(0)).collect() == []
+
+
+def test_exact_join_at_the_threshold(spark):
+    common = [f"c{i}" for i in range(60)]  # 56 of 63 shingles in common: similarity 0.8
+    both = [(row, row, " ".join(common + [f"{row}x{i}" for i in range(7)])) for row in (1, 2)]
+    table = spark.createDataFrame(both, "row long, root long, text string")
+    assert [tuple(r) for r in apart_pairs(table.select("row", "root"), table.select("row", "text"), 5, 0.8).collect()] == [(1, 2)]
