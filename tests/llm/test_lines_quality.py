@@ -1,10 +1,11 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 
 from marktrace.llm.lines import dedup_lines
-from marktrace.llm.quality import choose_quantile, fit_pairs, quality_scores
+from marktrace.llm.quality import choose_quantile, fit, fit_pairs, quality_scores
 
 BLANK = " \t\n\x0b\f\r"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -89,3 +90,14 @@ def test_pairs_and_quantile():
     assert (good @ w).min() > (bad @ w).max()
     threshold, quantile = choose_quantile(good @ w, bad @ w, 0.2, 0.98)
     assert (bad @ w).max() < threshold < (good @ w).min() and abs(quantile - 0.2) < 1e-9
+
+
+def test_repeated_rows_and_labels_do_not_fill_the_sample(spark, frame):
+    texts = [f"plain words number {i} of a text" if i % 2 else f"{i}$$ ## {i}" for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:4]
+    more = spark.createDataFrame([(i, i % 2) for i in ids for _ in range(40)], "doc_id long, quality int")
+    for rows in (6, 60):
+        once = fit(frame(texts), labels, rows)
+        again = fit(frame([*enumerate(texts)] + [(i, texts[i]) for i in ids for _ in range(40)]), labels.union(more), rows)
+        assert all(np.array_equal(a, b) for a, b in zip(vars(once).values(), vars(again).values(), strict=True))
