@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["edges", "scalars", "reports", "correlation", "fusion", "storage", "jobs", "streams"]
+FAMILIES = ["edges", "scalars", "reports", "correlation", "fusion", "storage", "jobs", "cycles", "streams"]
 
 
 def load():
