@@ -9,6 +9,9 @@ from marktrace.functions.times import epoch_ms
 from marktrace.operators.ordered import order_rows, ranked, running
 from marktrace.plans.cycles import CycleParams, session_cycles, stage_counts
 from marktrace.registry.base import query, table
+from marktrace.session import settle
+from marktrace.streaming.ownership import map_state, stream_cycles
+from marktrace.streaming.run import drain_slices
 
 c, lit = F.col, F.lit
 HOUR = 3_600_000
@@ -95,3 +98,31 @@ def h11_triggers(spark, sf):
 def h11_unguarded(spark, sf):
     """Only the interval keeps triggers apart: a session that is no longer the newest gets SESSION_MISMATCH."""
     return cycles(spark, sf, FREE)[2].select("result_id", "session_id", "kind", "verdict")
+
+
+def cycle_stream(spark, sf, p, label):
+    """The same events in three slices of time, then one row per user that only moves the clock."""
+    ev = cycle_events(spark, sf).withColumns({"confidence": c("value") / 500, "waited_ms": F.floor(c("value") * 20), "value": c("props")}).drop("props")
+    ev = settle(ev.withColumn("ts", F.timestamp_millis("at_ms")))
+    lo, hi = ev.agg(F.min("at_ms"), F.max("at_ms")).first()
+    piece = F.floor((c("at_ms") - lo) * 3 / (hi - lo + 1))
+    later = ev.select("user_id").distinct().withColumns({"at_ms": lit(hi + 1000 * HOUR), "event_id": lit(-1).cast("long"), "kind": lit("clock"), "session_id": lit(None).cast("long"), "value": lit(None).cast("string"), "confidence": lit(None).cast("double"), "waited_ms": lit(None).cast("long")})
+    slices = [*(ev.filter(piece == i) for i in range(3)), later.withColumn("ts", F.timestamp_millis("at_ms")).select(*ev.columns)]
+    with map_state(spark):
+        return drain_slices(slices, lambda s: stream_cycles(s.withWatermark("ts", "1 hour"), ["user_id"], p), label)
+
+
+@query("st2_cycle_stream", cycle_sql(True) + "SELECT * EXCLUDE (queue_wait_ms, failure_stage) FROM sessions")
+def st2_cycles(spark, sf):
+    columns = [x for x in SESSION_COLUMNS if x not in ("queue_wait_ms", "failure_stage")]
+    return cycle_stream(spark, sf, CYCLES, "st2-cycles").filter("record = 'session'").select(*columns)
+
+
+@query("st3_cycle_verdicts", cycle_sql(True) + "SELECT user_id, result_id, session_id, verdict FROM verdicts JOIN events ON event_id = result_id")
+def st3_cycles(spark, sf):
+    return cycle_stream(spark, sf, CYCLES, "st3-cycles").filter("record = 'result'").select("user_id", c("event_id").alias("result_id"), "session_id", "verdict")
+
+
+@query("st3_unguarded_verdicts", cycle_sql(False) + "SELECT user_id, result_id, session_id, verdict FROM verdicts JOIN events ON event_id = result_id")
+def st3_unguarded(spark, sf):
+    return cycle_stream(spark, sf, FREE, "st3-unguarded").filter("record = 'result'").select("user_id", c("event_id").alias("result_id"), "session_id", "verdict")

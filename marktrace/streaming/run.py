@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 
@@ -22,3 +22,22 @@ def drain_batches(stream: DataFrame, label: str, write: Callable[[DataFrame, int
     spark = stream.sparkSession
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{scratch_path(spark, label)}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def drain_slices(slices: Iterable[DataFrame], build: Callable[[DataFrame], DataFrame], label: str, mode: str = "append") -> DataFrame:
+    """The result of ``build`` over a file stream that each of ``slices`` reaches as one micro-batch, one after the other.
+
+    A slice is written with all its partitions and taken in whole by its own run of the same query and checkpoint.
+    """
+    root, out, schema = None, None, None
+    for rows in slices:
+        spark = rows.sparkSession
+        root = root or scratch_path(spark, label)
+        schema = schema or rows.schema
+        rows.write.mode("append").parquet(f"{root}/in")
+        out = build(spark.readStream.schema(schema).parquet(f"{root}/in"))
+        q = out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+    if out is None:
+        raise ValueError("no slices")
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
