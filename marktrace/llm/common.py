@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +16,25 @@ from marktrace.session import scratch_path
 
 #: edges that one task may hold while components are found
 TASK_EDGES = 200_000
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a Parquet table below the shared folder and read again.
 
-    Cuts the lineage: whatever an executor loses later is read from the table, not recomputed.
+    Cuts the lineage: whatever an executor loses later is read from the table, not recomputed. While it is
+    written, Arrow batches hold at most ``BATCH_ROWS`` rows, which bounds what Python workers get at once.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    rows = spark.conf.get(BATCH_CONF)
+    if not 0 < int(rows) <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_CONF, rows)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -34,6 +46,44 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: bytes of text decoded and worked on at once
+PORTION_BYTES = 500_000
+
+
+def portions(texts: pa.Array, limit: int = PORTION_BYTES, most: int = 1_000) -> Iterator[tuple[slice, list[str]]]:
+    """Consecutive texts of about ``limit`` bytes and at most ``most`` texts, decoded one portion after the other.
+
+    Null texts are empty. Memory follows the longest text, not the Arrow batch.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    first, held = 0, 0
+    for i, size in enumerate([*sizes, limit + 1]):
+        if i > first and (held + size > limit or i - first == most):
+            yield slice(first, i), [t or "" for t in texts.slice(first, i - first).to_pylist()]
+            first, held = i, 0
+        held += size
+
+
+def frugal(work: Callable) -> Callable:
+    """``work``, a function over Arrow batches, that gives freed memory back to the system when a partition ends.
+
+    Python workers live as long as their executor; without this each keeps the most it ever held.
+    """
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return run
+
+
 def key128(*columns: Column) -> list[Column]:
     """Two independent 64-bit hashes of the same values."""
     return [F.xxhash64(*columns), F.xxhash64(F.lit(0x5BD1E995), *columns)]

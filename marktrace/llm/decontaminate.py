@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marktrace.llm.common import stored, whole_text
-from marktrace.llm.tokens import portions
+from marktrace.llm.common import frugal, portions, stored, whole_text
 from marktrace.llm.words import Words
 
 #: shingle tokens held by every task at most (8 bytes each); beyond it tokens are joined instead of looked up
@@ -31,9 +30,8 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in portions(texts):
-                w = Words(texts[part])
+            for part, texts in portions(batch.column("text")):
+                w = Words(texts)
                 hashes = {k: w.shingles(k)[0] for k in range(1, TOKEN_WORDS + 1)}
                 ids = batch.column("item_id").slice(part.start, part.stop - part.start)
                 owner, rows = [], []
@@ -47,7 +45,7 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner, pa.int64())), pa.array(body, pa.string()), pa.array(size, pa.int32()), pa.array(step, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["item_id", "body", "size", "step", "tokens"])
 
     slim = items.select(F.col("item_id").cast("string").alias("item_id"), whole_text().alias("text"))
-    return slim.mapInArrow(cut, "item_id string, body string, size int, step int, tokens array<long>")
+    return slim.mapInArrow(frugal(cut), "item_id string, body string, size int, step int, tokens array<long>")
 
 
 def lookup(tokens: DataFrame, limit: int) -> np.ndarray | None:
@@ -69,9 +67,8 @@ def token_rarity(docs: DataFrame, steps: list[int], known: np.ndarray | None) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in portions(texts):
-                w = Words(texts[part])
+            for part, texts in portions(batch.column("text")):
+                w = Words(texts)
                 got = []
                 for step in steps:
                     value, whole = w.shingles(step)
@@ -80,7 +77,7 @@ def token_rarity(docs: DataFrame, steps: list[int], known: np.ndarray | None) ->
                 token, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.int64),) * 2
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], names=["token", "n"])
 
-    return docs.select(whole_text().alias("text")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select(whole_text().alias("text")).mapInArrow(frugal(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def candidates(docs: DataFrame, steps: list[int], known: np.ndarray | None, window: int) -> DataFrame:
@@ -89,10 +86,9 @@ def candidates(docs: DataFrame, steps: list[int], known: np.ndarray | None, wind
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in portions(texts):
-                w = Words(texts[part])
-                cands: list[list] = [[] for _ in texts[part]]
+            for part, texts in portions(batch.column("text")):
+                w = Words(texts)
+                cands: list[list] = [[] for _ in texts]
                 for step in steps:
                     value, whole = w.shingles(step)
                     value = value.view(np.int64)
@@ -105,7 +101,7 @@ def candidates(docs: DataFrame, steps: list[int], known: np.ndarray | None, wind
                 yield pa.RecordBatch.from_arrays([ids, keys, pa.array(np.diff(w.bounds)), pa.array(cands, kind)], names=["doc_id", "text_key", "n_words", "cands"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
-    return slim.mapInArrow(scan, "doc_id long, text_key long, n_words long, cands array<struct<token: long, at: int, first: int, around: array<string>>>")
+    return slim.mapInArrow(frugal(scan), "doc_id long, text_key long, n_words long, cands array<struct<token: long, at: int, first: int, around: array<string>>>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, lookup_tokens: int = LOOKUP_TOKENS) -> DataFrame:

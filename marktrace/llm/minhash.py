@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marktrace.llm.common import connected, discard, stored, whole_text
-from marktrace.llm.tokens import portions
+from marktrace.llm.common import connected, discard, frugal, portions, stored, whole_text
 from marktrace.llm.words import Words, mix, powers
 
 BANDS, BAND_ROWS, SHINGLE_WORDS, SIMILARITY = 24, 5, 5, 0.8
@@ -102,9 +101,8 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in portions(texts):
-                element, count, bounds = weighted_shingles(texts[part], words)
+            for part, texts in portions(batch.column("text")):
+                element, count, bounds = weighted_shingles(texts, words)
                 keys = band_keys(dart_signatures(element, count.astype(np.float64), bounds, bands * rows), bands, rows)
                 run = np.append(np.zeros(1, np.uint64), np.cumsum(mix(element * _A + count.astype(np.uint64) * _B), dtype=np.uint64))
                 run2 = np.append(np.zeros(1, np.uint64), np.cumsum(mix(element * _C + count.astype(np.uint64) * _D), dtype=np.uint64))
@@ -120,7 +118,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, text_key, pa.array(x), pa.array(y), pa.array(total), listed], names=["doc_id", "text_key", "x", "y", "total", "bands"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
-    return slim.mapInArrow(sketch, "doc_id long, text_key long, x long, y long, total long, bands array<long>")
+    return slim.mapInArrow(frugal(sketch), "doc_id long, text_key long, x long, y long, total long, bands array<long>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -128,12 +126,12 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) ->
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
             linked: list[bool] = []
-            for part in portions([x + y for x, y in zip(left, right, strict=True)]):
-                distinct = {t: i for i, t in enumerate(dict.fromkeys(left[part] + right[part]))}
+            for part, left in portions(batch.column("ta")):
+                right = batch.column("tb").slice(part.start, part.stop - part.start).to_pylist()
+                distinct = {t: i for i, t in enumerate(dict.fromkeys(left + right))}
                 value, count, bounds = weighted_shingles(list(distinct), words)
-                for x, y in zip(left[part], right[part], strict=True):
+                for x, y in zip(left, right, strict=True):
                     (p, q), (r, s) = (bounds[distinct[t] : distinct[t] + 2] for t in (x, y))
                     _, i, j = np.intersect1d(value[p:q], value[r:s], assume_unique=True, return_indices=True)
                     both = np.minimum(count[p:q][i], count[r:s][j]).sum()
@@ -145,7 +143,7 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) ->
     two = texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
     # the smaller number has the centre of a bucket more often: the other side's text is fetched first, so a centre's text moves once
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
-    return both.mapInArrow(compare, "a long, b long, linked boolean")
+    return both.mapInArrow(frugal(compare), "a long, b long, linked boolean")
 
 
 def apart_pairs(named: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -159,9 +157,8 @@ def apart_pairs(named: DataFrame, texts: DataFrame, words: int, threshold: float
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("text").to_pylist()
-            for part in portions(found):
-                value, count, bounds = weighted_shingles(found[part], words)
+            for part, texts in portions(batch.column("text")):
+                value, count, bounds = weighted_shingles(texts, words)
                 ends = np.append(0, np.cumsum(count))
                 turn = np.arange(ends[-1]) - np.repeat(ends[:-1], count)
                 each = mix(np.repeat(value, count) + turn.astype(np.uint64) * _D)
@@ -170,7 +167,7 @@ def apart_pairs(named: DataFrame, texts: DataFrame, words: int, threshold: float
                 yield pa.RecordBatch.from_arrays([rows, roots, listed], names=["row", "root", "elements"])
 
     chosen = texts.join(named.select("row", "root").distinct(), "row").select("row", "root", "text")
-    sets = stored(chosen.mapInArrow(elements, "row long, root long, elements array<long>"), "apart-elements")
+    sets = stored(chosen.mapInArrow(frugal(elements), "row long, root long, elements array<long>"), "apart-elements")
     one = sets.select("row", "root", F.size("elements").alias("total"), F.explode("elements").alias("element"))
     common = stored(one.groupBy("element").agg(F.count("*").alias("texts")), "apart-frequencies")
     ordered = one.join(common, "element").groupBy("row", "root", "total").agg(F.sort_array(F.collect_list(F.struct("texts", "element"))).alias("order"))

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marktrace.llm.common import stored, whole_text
-from marktrace.llm.tokens import TokenIds, loaded, portions
+from marktrace.llm.common import frugal, portions, stored, whole_text
+from marktrace.llm.tokens import TokenIds, loaded
 
 #: items packed together by one task
 TASK_ITEMS = 100_000
@@ -29,10 +29,10 @@ def token_pieces(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: int
         tokens = loaded(TokenIds, name)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            texts, owner = batch.column("text").to_pylist(), []
+            owner: list[int] = []
             rows: list[tuple[int, int, int, int]] = []
-            for part in portions(texts):
-                for at, ids in enumerate(tokens.ids(texts[part]), part.start):
+            for part, texts in portions(batch.column("text")):
+                for at, ids in enumerate(tokens.ids(texts), part.start):
                     ids = np.concatenate([ids.astype("<u4", copy=False), end])
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         piece = ids[start : start + capacity]
@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: int
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return slim.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return slim.mapInArrow(frugal(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:

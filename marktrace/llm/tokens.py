@@ -14,12 +14,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marktrace.llm.common import whole_text
+from marktrace.llm.common import frugal, portions, whole_text
 
 #: pieces remembered by a worker before it starts afresh
-CACHE_PIECES = 400_000
-#: characters of text worked on at once
-BATCH_CHARS = 2_000_000
+CACHE_PIECES = 150_000
 NO_RANK = np.iinfo(np.int64).max
 #: pre-token pattern of byte-level vocabularies, published with them
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -248,18 +246,6 @@ def loaded(kind: type, name: str):
     return _LOADED[kind, name]
 
 
-def portions(texts: list[str], limit: int = BATCH_CHARS, most: int = 1_000) -> Iterator[slice]:
-    """Slices of consecutive texts of about ``limit`` characters and at most ``most`` texts, so memory follows the longest text, not the batch."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit or i - first == most:
-            yield slice(first, i)
-            first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield slice(first, len(texts))
-
-
 def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
     """Tokens of every whole text: ``doc_id, n_bytes, n_tokens, over_limit``.
 
@@ -270,12 +256,12 @@ def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(TokenCounter, name)
         for batch in batches:
-            texts, n = batch.column("text").to_pylist(), []
-            for part in portions(texts):
-                n += counter.count(texts[part])
+            n: list[int] = []
+            for _, texts in portions(batch.column("text")):
+                n += counter.count(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     sized = slim.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    counted = sized.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    counted = sized.mapInArrow(frugal(count), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

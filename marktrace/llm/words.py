@@ -22,17 +22,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
+KEPT_POWERS = 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
+    """base**0 .. base**(n-1) modulo 2**64; up to ``KEPT_POWERS`` of them are kept between calls."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         size = 1 << max(16, (n - 1).bit_length())
         steps = np.full(size, base % 2**64, dtype=np.uint64)
         steps[0] = 1
-        have = _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
+        have = np.cumprod(steps, dtype=np.uint64)
+        if size <= KEPT_POWERS:
+            _POWERS[base] = have
     return have[:n]
 
 
@@ -51,7 +54,9 @@ class Words:
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(BYTE_VALUE[self.folded] * powers(BASE, n), dtype=np.uint64, out=total[1:])
         undo = powers(pow(BASE, -1, 2**64), n)
-        self.hash = mix((total[self.end] - total[self.start]) * undo[self.start])
+        spread = total[self.end] - total[self.start]
+        del total
+        self.hash = mix(spread * undo[self.start])
 
     def __len__(self) -> int:
         return len(self.start)
