@@ -175,24 +175,25 @@ def h4(spark, sf):
     return audit.select("p_partkey", "position", F.array_join("reasons", ";").alias("reasons"), "weak")
 
 
-GREEDY_SQL = """WITH RECURSIVE h AS (SELECT label, vec_id, list_sum(list_transform(range(1, 13), lambda i: CASE WHEN embedding[i] > 0 THEN 1 << (i - 1) ELSE 0 END))::BIGINT AS h, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+_HALF = "list_sum(list_transform(range({0}, {0} + 32), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - {0}) ELSE 0 END))::BIGINT"
+GREEDY_SQL = f"""WITH RECURSIVE h AS (SELECT label, vec_id, {_HALF.format(1)} AS lo, {_HALF.format(33)} AS hi, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
 walk AS (
-  SELECT label, 0::BIGINT AS rn, NULL::BIGINT AS vec_id, NULL::BIGINT AS rep, []::STRUCT(v BIGINT, i BIGINT)[] AS reps FROM (SELECT DISTINCT label FROM h)
+  SELECT label, 0::BIGINT AS rn, NULL::BIGINT AS vec_id, NULL::BIGINT AS rep, []::STRUCT(lo BIGINT, hi BIGINT, i BIGINT)[] AS reps FROM (SELECT DISTINCT label FROM h)
   UNION ALL
-  SELECT label, rn, vec_id, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(reps, struct_pack(v := h, i := vec_id)) ELSE reps END FROM (
-    SELECT h.label, h.rn, h.vec_id, h.h, w.reps, list_filter(w.reps, lambda r: bit_count(xor(r.v, h.h)) <= 2)[1].i AS hit FROM walk w JOIN h ON h.label = w.label AND h.rn = w.rn + 1)
+  SELECT label, rn, vec_id, coalesce(hit, vec_id), CASE WHEN hit IS NULL THEN list_append(reps, struct_pack(lo := lo, hi := hi, i := vec_id)) ELSE reps END FROM (
+    SELECT h.label, h.rn, h.vec_id, h.lo, h.hi, w.reps, list_filter(w.reps, lambda r: bit_count(xor(r.lo, h.lo)) + bit_count(xor(r.hi, h.hi)) <= 5)[1].i AS hit FROM walk w JOIN h ON h.label = w.label AND h.rn = w.rn + 1)
 ) SELECT label, vec_id, rep AS representative FROM walk WHERE rn > 0"""
 
 
 @query("h1_near_duplicate_groups", GREEDY_SQL)
 def h1(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", "vec_id", G.sign_hash(c("embedding"), 12).alias("h"))
-    return G.near_duplicate_groups(order_rows(e, ["label"], ["vec_id"]), "h", 2).drop("h")
+    e = table(spark, sf, "embeddings").select("label", "vec_id", G.sign_hash(c("embedding")).alias("h"))
+    return G.near_duplicate_groups(e, ["label"], "h", "vec_id").drop("h")
 
 
 @query(
     "j11_group_sizes",
-    f"SELECT label, representative, count(*) AS members FROM ({GREEDY_SQL.replace('WITH RECURSIVE', 'WITH RECURSIVE')}) GROUP BY 1, 2",
+    f"SELECT label, representative, count(*) AS members FROM ({GREEDY_SQL}) GROUP BY 1, 2",
 )
 def j11(spark, sf):
     return h1(spark, sf).groupBy("label", "representative").agg(F.count(lit(1)).alias("members"))

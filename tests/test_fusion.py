@@ -103,21 +103,25 @@ def test_position_choice_equals_twin(spark, sliced, slice_rows):
     assert {k: r.fused for k, r in got.items()} == want
 
 
-def test_near_duplicates_greedy(spark):
+@pytest.mark.parametrize("distance, task_edges", [(2, 200_000), (2, 0), (5, 40)])
+def test_near_duplicates_greedy(spark, distance, task_edges):
+    """Whole 64-bit hashes, equal ones, none, and a chain whose members decide one after the other."""
     from marktrace.operators.disagreement import near_duplicate_groups
-    from marktrace.operators.ordered import order_rows
 
     rng = random.Random(3)
-    rows, want = [], {}
-    for k in range(4):
-        reps = []
+    rows, want, signed = [], {}, lambda v: v - (1 << 64) if v >> 63 else v
+    pool = [rng.getrandbits(64) for _ in range(6)]
+    for k in range(3):
+        reps, drift = [], rng.getrandbits(64)
         for i in range(60):
-            h = rng.choice([None, rng.getrandbits(10), 0, 3, 1023])
-            rows.append((k, i, h))
-            hit = None if h is None else next((j for v, j in reps if bin(v ^ h).count("1") <= 2), None)
+            drift ^= 1 << rng.randrange(64) | 1 << rng.randrange(64)
+            near = rng.choice(pool) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5)))
+            h = rng.choice([None, near, near, drift, drift, pool[0], (1 << 64) - 1])
+            rows.append((k, i, None if h is None else signed(h)))
+            hit = None if h is None else next((j for v, j in reps if (v ^ h).bit_count() <= distance), None)
             if h is not None and hit is None:
                 reps.append((h, i))
             want[(k, i)] = i if hit is None else hit
     df = spark.createDataFrame(rows, "k int, i long, h long")
-    got = near_duplicate_groups(order_rows(df, ["k"], ["i"]), "h", 2).collect()
+    got = near_duplicate_groups(df, ["k"], "h", "i", distance, task_edges).collect()
     assert {(r.k, r.i): r.representative for r in got} == want
