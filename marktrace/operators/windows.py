@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marktrace.operators.ordered import Ordered, order_rows, ordered_fold, ranked, running, trailing
+from marktrace.operators.ordered import Ordered, null_safe_join, order_rows, ordered_fold, ranked, running, trailing
+from marktrace.session import settle
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -180,29 +183,98 @@ def keep_newest(rows: Ordered, keep: int) -> DataFrame:
     return ranked(rows, "age_rank").plain().filter(F.col("age_rank") > keep)
 
 
+class Shares:
+    """Split sizes wanted, and which split each of many groups of one size goes to, without taking them one by one.
+
+    A group goes to the split furthest below its share (of equals the first). With equal sizes that takes the
+    numbers ``want - (filled + k * n)`` of all splits in descending order, so the place of any of them in
+    that order is a count, and what the r-th group gets is found by bisection.
+    """
+
+    def __init__(self, want: np.ndarray):
+        self.want = want
+
+    def _below(self, i: int, filled: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return self.want[i] - (filled[i] + k * n)
+
+    def _place(self, j: int, filled: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """How many picks come before the ``k``-th of split ``j``."""
+        value, place = self._below(j, filled, n, k), k.copy()
+        for i in range(len(self.want)):
+            if i != j:
+                # one below the quotient to be safe against rounding, then counted up exactly
+                c = np.maximum(np.floor((self.want[i] - filled[i] - value) / n).astype(np.int64) - 1, 0)
+                for _ in range(3):
+                    own = self._below(i, filled, n, c)
+                    c += (own > value) | ((own == value) & (i < j))
+                place += c
+        return place
+
+    def first(self, j: int, filled: np.ndarray, n: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Smallest k whose place is ``rank`` or later: how many of the first ``rank`` groups split ``j`` gets."""
+        low, high = np.zeros_like(rank), rank.copy()
+        while (low < high).any():
+            middle = (low + high) // 2
+            enough = self._place(j, filled, n, middle) >= rank
+            low, high = np.where(enough, low, middle + 1), np.where(enough, middle, high)
+        return low
+
+    def picked(self, filled: np.ndarray, n: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Split of the ``rank``-th group (from 0) of its run; ``filled`` has one row per split."""
+        out = np.zeros(len(rank), dtype=np.int64)
+        for j in range(len(self.want)):
+            k = self.first(j, filled, n, rank)
+            out[self._place(j, filled, n, k) == rank] = j
+        return out
+
+
+def range_ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """``df`` with the 0-based place of each row in its key, along columns of any type.
+
+    Rows are range-partitioned by key and order, so a hot key lies in many partitions; each numbers its own rows
+    and is moved up by the counts of the key's earlier partitions.
+    """
+    laid = settle(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    counts = laid.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    numbered = null_safe_join(laid.withColumn("_own", own), before, [*keys, "_part"])
+    return numbered.withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).select(*df.columns, name)
+
+
 def group_split(df: DataFrame, group: str, fractions: dict[str, float]) -> DataFrame:
     """Whole groups go to splits, largest group first, each to the split furthest below its share.
 
-    Group sizes are aggregated on Spark; the assignment itself is a sequential fold over one row per
-    group (not per item) that keeps only the running split sizes.
+    Groups of one size form a run. Only runs are folded, one small row each and never more than the square
+    root of twice the items; inside a run every group's split follows from its rank, in parallel.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
+    sizes = settle(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     names = list(fractions)
-    want = np.array([fractions[n] for n in names]) * total
+    shares = Shares(np.array([fractions[n] for n in names]) * total)
 
     def step(state, run):
         filled = np.array(state if state else [0] * len(names), dtype="int64")
-        chosen = []
-        for n in run["n"]:
-            slot = int(np.argmax(want - filled))
-            filled[slot] += n
-            chosen.append(names[slot])
-        return tuple(int(v) for v in filled), {"split": chosen}
-
-    sizes = sizes.withColumn("_neg", -F.col("n"))
-    rows = order_rows(sizes, [], ["_neg", group])
-    return ordered_fold(rows, step, "split string").drop("_neg", "_slice")
+        starts = []
+        for n, groups in zip(run["n"], run["groups"]):
+            starts.append(filled.tolist())
+            column, size, m = filled[:, None], np.array([n]), np.array([groups])
+            filled = filled + n * np.array([shares.first(j, column, size, m)[0] for j in range(len(names))])
+        return tuple(int(v) for v in filled), {"filled": starts}
+
+    runs = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("groups")).withColumn("_neg", -F.col("n"))
+    opened = ordered_fold(order_rows(runs, [], ["_neg"]), step, "filled array<bigint>").select("n", "filled")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                filled = batch.column("filled").flatten().to_numpy().reshape(-1, len(names)).T
+                split = shares.picked(filled, batch.column("n").to_numpy(), batch.column("rank").to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(group), batch.column("n"), pa.array([names[i] for i in split])], names=[group, "n", "split"])
+
+    placed = range_ranked(sizes, ["n"], [group]).join(opened, "n").select(group, "n", "rank", "filled")
+    return placed.mapInArrow(assign, T.StructType([sizes.schema[group], sizes.schema["n"], T.StructField("split", T.StringType())]))
 
 
 def _absent(value) -> bool:

@@ -284,23 +284,29 @@ def w18(spark, sf):
     return E.capture_wait(pairs, "before_ms", "ts_ms", 2 * HOUR).select("event_id", "queue_wait_ms", "capture_class")
 
 
-@query(
-    "w19_group_split",
-    """WITH RECURSIVE g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+SPLIT_SQL = """WITH RECURSIVE g AS (SELECT {0} AS source, count(*) AS n FROM {1} GROUP BY 1),
     o AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) AS rn, sum(n) OVER () AS total FROM g),
     walk AS (
-      SELECT 0::BIGINT AS rn, ''::VARCHAR AS source, 0::BIGINT AS n, ''::VARCHAR AS split, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c
+      SELECT 0::BIGINT AS rn, NULL::{2} AS source, 0::BIGINT AS n, ''::VARCHAR AS split, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c
       UNION ALL
       SELECT rn, source, n, split, a + CASE split WHEN 'train' THEN n ELSE 0 END, b + CASE split WHEN 'validation' THEN n ELSE 0 END, c + CASE split WHEN 'test' THEN n ELSE 0 END FROM (
         SELECT o.rn, o.source, o.n, w.a, w.b, w.c,
           CASE WHEN 0.7::DOUBLE * total - w.a >= 0.15::DOUBLE * total - w.b AND 0.7::DOUBLE * total - w.a >= 0.15::DOUBLE * total - w.c THEN 'train'
                WHEN 0.15::DOUBLE * total - w.b >= 0.15::DOUBLE * total - w.c THEN 'validation' ELSE 'test' END AS split
         FROM walk w JOIN o ON o.rn = w.rn + 1)
-    ) SELECT source, n, split FROM walk WHERE rn > 0""",
-)
+    ) SELECT source AS {0}, n, split FROM walk WHERE rn > 0"""
+SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15}
+
+
+@query("w19_group_split", SPLIT_SQL.format("source", "documents", "VARCHAR"))
 def w19(spark, sf):
-    docs = table(spark, sf, "documents").select("source")
-    return W.group_split(docs, "source", {"train": 0.7, "validation": 0.15, "test": 0.15})
+    return W.group_split(table(spark, sf, "documents").select("source"), "source", SHARES)
+
+
+@query("w19_many_groups", SPLIT_SQL.format("o_custkey", "orders", "BIGINT"))
+def w19_many(spark, sf):
+    """Many groups of few sizes: most are assigned inside runs."""
+    return W.group_split(table(spark, sf, "orders").select("o_custkey"), "o_custkey", SHARES)
 
 
 @query(
