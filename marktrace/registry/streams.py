@@ -13,6 +13,7 @@ from marktrace.registry.edges import DEBOUNCE, TRIGGER, EDGES_SQL
 from marktrace.registry.jobs import HOUR, SESSION, TIMELINE_SQL
 from marktrace.operators.edges import TriggerParams
 from marktrace.session import scratch_path
+from marktrace.sources.buckets import BucketTable
 from marktrace.sources.readers import stream_files
 from marktrace.sources.sinks import last_per_key
 from marktrace.streaming import edges as SE
@@ -162,3 +163,27 @@ def s15(spark, sf):
 @query("w7_batch_upsert", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def w7b(spark, sf):
     return last_per_key(table(spark, sf, "events").select("user_id", "event_id"), "user_id", ["event_id"])
+
+
+@query("st8_bucket_table", "SELECT user_id, arg_max(status, (event_id, late)) AS status, max(event_id) AS event_id FROM (SELECT user_id, event_type AS status, event_id, 1 AS late FROM events UNION ALL SELECT c_custkey, 'KNOWN', c_custkey, 0 FROM customer) GROUP BY 1")
+def st8_buckets(spark, sf):
+    """The stream joins a table in buckets that is there already."""
+    held = BucketTable(spark, scratch_path(spark, "st8-buckets"), "user_id", ["event_id"], 16)
+    held.apply(table(spark, sf, "customer").select(c("c_custkey").alias("user_id"), lit("KNOWN").alias("status"), c("c_custkey").alias("event_id")))
+    s = arriving(spark, sf).select("user_id", c("event_type").alias("status"), "event_id")
+    drain_batches(s, "st8", held.writer("st8"))
+    return held.read().select("user_id", "status", "event_id")
+
+
+@query(
+    "k5_bucket_upserts",
+    """SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
+)
+def k5_buckets(spark, sf):
+    """Orders arrive as two batches, the newer half first and one of them twice; each customer's newest stays."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    held = BucketTable(spark, scratch_path(spark, "k5-buckets"), "o_custkey", ["o_orderdate", "o_orderkey"], 16)
+    newer = c("o_orderdate") >= "1995-06-01"
+    for epoch, part in enumerate([orders.filter(newer), orders.filter(~newer), orders.filter(~newer)]):
+        held.apply(part, "orders", min(epoch, 1))
+    return held.read().select("o_custkey", "o_orderkey", "o_orderstatus")
