@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marktrace.llm.common import bind, whole_text
+from marktrace.llm.common import bind
 
 ROUNDS = 10
-#: days of a block within which dates are permuted, as a product of two equal factors
-DAY_SIDE = 270
+#: days within which dates are permuted, as a product of two factors: blocks from 0001-01-01 on, and what is left up to 9999-12-31
+BLOCK_DAYS, LAST_DAYS = (270, 270), (39, 181)
+#: days from 0001-01-01 to 1970-01-01, and the number of the last, shorter block
+FIRST_DAY, LAST_BLOCK = 719_162, 50
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
@@ -18,7 +20,7 @@ PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 #: published shapes of credentials: long hexadecimal strings, cloud access keys, and what follows "password="
-SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16})(?![0-9A-Za-z])|(?<=(?:password|PASSWORD|Password)=)[^\s\"']+"
+SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16})(?![0-9A-Za-z])|(?<=(?i:password)=)[^\s\"']+"
 BEFORE, AFTER = [EMAIL, ADDRESS, DATE, PHONE, SOCIAL], [SECRET]
 
 
@@ -139,7 +141,7 @@ def social(text: Column, key: str) -> Column:
 
 
 def date(text: Column, key: str) -> Column:
-    """Days are permuted within blocks of 72,900; order of parts and separators stay, parts keep two digits if they had.
+    """Days are permuted within blocks of 72,900, the last of 7,059 up to 9999-12-31; order of parts and separators stay, parts keep two digits if they had.
 
     Of two leading parts the first is the month unless only the other order is a date.
     """
@@ -153,11 +155,12 @@ def date(text: Column, key: str) -> Column:
     sound = year.between(1, 9999) & month.between(1, 12) & day.between(1, 31)
     month_start = F.make_date(year, month, F.lit(1))
     valid = sound & (day <= F.dayofmonth(F.last_day(month_start)))
-    number = F.unix_date(month_start).cast("long") + day - 1
-    block, place = F.floor(number / DAY_SIDE**2), F.pmod(number, F.lit(DAY_SIDE**2).cast("long"))
-    side = F.lit(DAY_SIDE).cast("long")
-    moved = feistel(F.array(F.floor(place / DAY_SIDE), place % DAY_SIDE), F.array(side, side), key, "date")
-    new = F.transform(F.array(moved), lambda m: F.date_from_unix_date((block * DAY_SIDE**2 + F.get(m, F.lit(0)) * DAY_SIDE + F.get(m, F.lit(1))).cast("int")))
+    number = F.unix_date(month_start).cast("long") + day - 1 + FIRST_DAY
+    size = BLOCK_DAYS[0] * BLOCK_DAYS[1]
+    block, place = F.floor(number / size), F.pmod(number, F.lit(size).cast("long"))
+    high, low = (F.when(block == LAST_BLOCK, last).otherwise(full).cast("long") for full, last in zip(BLOCK_DAYS, LAST_DAYS, strict=True))
+    moved = feistel(F.array(F.floor(place / low), place % low), F.array(high, low), key, "date")
+    new = F.transform(F.array(moved), lambda m: F.date_from_unix_date((block * size + F.get(m, F.lit(0)) * low + F.get(m, F.lit(1)) - FIRST_DAY).cast("int")))
     day_out = F.get(new, F.lit(0))
     y, m, d = F.lpad(F.year(day_out).cast("string"), 4, "0"), F.lpad(F.month(day_out).cast("string"), 2, "0"), F.lpad(F.dayofmonth(day_out).cast("string"), 2, "0")
     out = F.when(year_first, F.array(y, m, d)).when(day_first, F.array(d, m, y)).otherwise(F.array(m, d, y))
@@ -205,14 +208,14 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     Distinct values are few, texts many: the found values of a text are permuted inside its row, nothing moves.
     """
-    text = whole_text()
     base = docs.drop("n_replaced")
-    marked = base.withColumn("_any", valid_cards(text)).withColumn("_any", any_value(F.col("_any")))
-    found = F.when(text.rlike("[0-9@]|(?i:password=)"), F.regexp_extract_all(text, F.col("_any"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    named = marked.withColumn("_found", found)
-    swapped = named.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
-    gaps = F.split(text, F.col("_any"), -1)
-    whole = F.array_join(F.flatten(F.zip_with(gaps, F.col("_new"), lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))), "")
-    new_text = F.when(F.size("_found") > 0, whole).otherwise(F.col("text"))
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x)).cast("long")
-    return swapped.select(*(new_text.alias("text") if c == "text" else F.col(c) for c in base.columns), changed.alias("n_replaced"))
+    text = F.coalesce(F.col("row")["text"], F.lit(""))
+    rows = base.select(F.struct(*base.columns).alias("row")).withColumn("cards", valid_cards(text)).select("row", any_value(F.col("cards")).alias("form"))
+    found = F.when(text.rlike("[0-9@]|(?i:password=)"), F.regexp_extract_all(text, F.col("form"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    named = rows.withColumn("found", found)
+    swapped = named.withColumn("new", F.transform("found", lambda v: pseudonym(v, key)))
+    gaps = F.split(text, F.col("form"), -1)
+    whole = F.array_join(F.flatten(F.zip_with(gaps, F.col("new"), lambda g, v: F.array(g, F.coalesce(v, F.lit(""))))), "")
+    new_text = F.when(F.size("found") > 0, whole).otherwise(F.col("row")["text"])
+    changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x)).cast("long")
+    return swapped.select(*(new_text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in base.columns), changed.alias("n_replaced"))
