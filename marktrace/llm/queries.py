@@ -50,9 +50,9 @@ _VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in T
 LICENSE_SQL = f"""
 WITH template AS (SELECT name AS license, {WORDS.replace("text", "body")} AS w FROM (VALUES {_VALUES}) t(name, body)),
 gram AS (SELECT DISTINCT license, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM template)),
-size AS (SELECT license, count(*) AS n FROM gram GROUP BY license),
+size AS (SELECT license, n, len(w) - 4 AS m FROM template JOIN (SELECT license, count(*) AS n FROM gram GROUP BY license) USING (license)),
 doc AS (SELECT doc_id, i - 1 AS at_word, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents) d)),
-hit AS (SELECT doc_id, license, n, at_word, g, at_word // n AS slot FROM doc JOIN gram USING (g) JOIN size USING (license)),
+hit AS (SELECT doc_id, license, n, at_word, g, at_word // m AS slot FROM doc JOIN gram USING (g) JOIN size USING (license)),
 placed AS (SELECT *, unnest(CASE WHEN slot > 0 THEN [slot - 1, slot] ELSE [slot] END) AS win FROM hit),
 counted AS (SELECT doc_id, license, win, count(DISTINCT g)::DOUBLE / any_value(n) AS share, min(at_word) AS first_word FROM placed GROUP BY doc_id, license, win)
 SELECT doc_id, license, max(share) AS containment, min(first_word)::BIGINT AS first_word, count(*) AS n_windows FROM counted WHERE share >= 0.8 GROUP BY doc_id, license

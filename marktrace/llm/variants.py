@@ -186,7 +186,7 @@ def near_words(vocabulary: DataFrame, limit: int = STATE_WORDS) -> DataFrame:
     many start alike. Every other state's acceptor is composed by one task at a time.
     """
     settled, edits = None, None
-    rows, level = vocabulary.select("word", "n", F.lit("").alias("state")), 0
+    rows, level = vocabulary.select("word", "n", F.substring("word", 1, 0).alias("state")), 0
     while True:
         over = stored(rows.groupBy("state").agg(F.count("*").alias("words")).where(F.col("words") > limit).select("state"), "divided-states")
         if over.isEmpty():

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -19,9 +20,9 @@ def brute(rows, templates, least=0.8):
     for i, t in {(i, t or "") for i, t in rows}:
         for name, body in templates.items():
             want, have = set(grams(body)), grams(t)
-            n, found = len(want), []
-            for at in range(0, len(have), n) if n else ():
-                window = have[at : at + 2 * n]
+            n, m, found = len(want), len(grams(body)), []
+            for at in range(0, len(have), m) if n else ():
+                window = have[at : at + 2 * m]
                 share = len(want & set(window)) / n
                 if share >= least:
                     found.append((share, at + min(window.index(g) for g in want if g in window)))
@@ -45,6 +46,18 @@ def test_licenses_against_brute_force(spark, frame, literal):
     assert run(spark, frame(rows), more, literal_shingles=literal) == brute(rows, more)
 
 
+def test_templates_that_repeat_a_clause(spark, frame):
+    """Found whole wherever they stand: nearly every copy is one stretch of the text, which the windows must hold."""
+    clause = "the copyright holder gives no warranty of any kind whatsoever to you"
+    body = "opening words of this odd licence " + " ".join([clause] * 20) + " and here it ends for good at last"
+    mixed = " ".join(f"part {i} {clause if i % 3 else 'is unlike all the others in number ' + str(i)}" for i in range(30))
+    rows = [(i, "before " * (61 * i) + t + " after" * (37 * i)) for i, t in enumerate([body, mixed] * 4)] + [(9, clause), (10, body[: len(body) // 2])]
+    some = {"odd": body, "mixed": mixed}
+    got = run(spark, frame(rows), some)
+    assert got == brute(rows, some)
+    assert {(r[0], r[1]) for r in got if r[2] == 1.0} >= {(i, "odd" if i % 2 == 0 else "mixed") for i in range(8)}
+
+
 def test_licenses_of_empty_tables(spark, frame):
     assert run(spark, frame([]), TEMPLATES) == [] and run(spark, frame(["a b c d e f"]), {"none": ""}) == []
 
@@ -104,3 +117,53 @@ def test_plain_numbers_hide_no_value(frame):
             if not (b.endswith("-") and v in values[1:4]) and not (v == values[7] and j):
                 assert got[k * len(before) + j] == (b + alone, 1), (b, v)
     assert got[len(values) * len(before)][0] == got[4 * len(before)][0] + " 12"
+
+
+def network(symbols, radix, key, kind, undo=False):
+    """A second writing of the keyed permutation, forwards and backwards."""
+    state, half = list(symbols), -(-len(symbols) // 2)
+    for turn in sorted(range(10), reverse=undo):
+        left = turn % 2 == 0
+        other = ",".join(map(str, state[half:] if left else state[:half]))
+        for i in range(half) if left else range(half, len(state)):
+            if radix[i] > 1:
+                added = int(hashlib.sha256(f"{key}|{kind}|{turn}|{other}|{i}".encode()).hexdigest()[:12], 16)
+                state[i] = (state[i] + (-added if undo else added)) % radix[i]
+    return state
+
+
+def test_values_against_second_writing_and_undone(frame):
+    rows = ["129.38.82.176", "4111111111111111", "2024-02-29", "(017) 555-7713", "123-45-6789", "a.B7@mail.example.com"]
+    got = {i: t for i, (t, _) in texts(frame(rows), "secret").items()}
+    parts = lambda t: [int(c) for c in t if c.isdigit()]
+    for i, kind, cut in ((1, "card", 15), (3, "phone", 10), (4, "social", 9)):
+        old, new = parts(rows[i])[:cut], parts(got[i])[:cut]
+        assert new == network(old, [10] * cut, "secret", kind) and old == network(new, [10] * cut, "secret", kind, undo=True)
+    old, new = ([int(x) for x in t.split(".")] for t in (rows[0], got[0]))
+    assert new == network(old, [256] * 4, "secret", "address") and old == network(new, [256] * 4, "secret", "address", undo=True)
+    import datetime
+
+    place = lambda t: divmod((datetime.date.fromisoformat(t).toordinal() - 1) % 72_900, 270)
+    assert list(place(got[2])) == network(place(rows[2]), [270, 270], "secret", "date") and network(place(got[2]), [270, 270], "secret", "date", undo=True) == list(place(rows[2]))
+    code = lambda t: [(ord(c) - 97, 26) if c.islower() else (ord(c) - 65, 26) if c.isupper() else (int(c), 10) if c.isdigit() else (ord(c) - ord(c), 1) for c in t]
+    (old, radix), (new, _) = (zip(*code(t.split("@")[0]), strict=True) for t in (rows[5], got[5]))
+    assert list(new) == network(old, radix, "secret", "email") and got[5].endswith("@mail.example.com")
+
+
+@pytest.mark.parametrize("first, days", [(-719_162, 72_900), (2_932_897 - 7_059, 7_059)])
+def test_dates_of_first_and_last_block(spark, first, days):
+    """Every day stays a date of four year digits, in both orders, and no two become one."""
+    day = F.date_from_unix_date((F.col("id") + first).cast("int"))
+    made = spark.range(days).select(date(F.date_format(day, "yyyy-MM-dd"), "marktrace").alias("a"), date(F.date_format(day, "MM/dd/yyyy"), "k").alias("b"))
+    found = made.agg(F.count_distinct("a"), F.count_distinct("b"), F.count_distinct(F.to_date("a", "yyyy-MM-dd")), F.count_distinct(F.to_date("b", "MM/dd/yyyy")), F.max(F.length("a")), F.max(F.length("b")), F.min("a"), F.max("a")).first()
+    assert tuple(found[:6]) == (days, days, days, days, 10, 10)
+    ends = spark.range(1).select(F.date_format(F.date_from_unix_date(F.lit(first)), "yyyy-MM-dd"), F.date_format(F.date_from_unix_date(F.lit(first + days - 1)), "yyyy-MM-dd")).first()
+    assert tuple(found[6:]) == tuple(ends)
+
+
+def test_clashing_columns_and_long_text(spark):
+    rows = [(1, "ip 129.38.82.176", "a", "b", "c", "d", 9), (2, "PassWord=hunter2 " + "x1 " * 100_000 + "2024-01-31", "a", "b", "c", "d", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _any string, _found string, _new string, row string, form long")
+    out = {r.doc_id: r for r in pseudonymise(df, "k").collect()}
+    assert [tuple(out[i])[2:7] for i in (1, 2)] == [("a", "b", "c", "d", 9)] * 2
+    assert out[1].n_replaced == 1 and out[2].n_replaced == 2 and "hunter2" not in out[2].text and "2024-01-31" not in out[2].text
