@@ -80,28 +80,47 @@ def token_rarity(docs: DataFrame, steps: list[int], known: np.ndarray | None) ->
     return docs.select(whole_text().alias("text")).mapInArrow(frugal(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+#: candidate places that leave the scan in one batch
+BATCH_PLACES = 5_000
+
+
 def candidates(docs: DataFrame, steps: list[int], known: np.ndarray | None, window: int) -> DataFrame:
-    """One row per input row: ``doc_id, text_key, n_words`` and, for each word at which a known token starts, the words around it."""
-    kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("around", pa.list_(pa.string()))]))
+    """One row per input row: ``row, doc_id, text_key, n_words``; and one per place where a known token starts:
+    ``row, n_words, token, at, first, around``, the words around it that a window with this token can hold.
+
+    Tokens of fewer than ``TOKEN_WORDS`` words stand for windows of just these words. Places leave the scan in
+    batches, so a word that a text repeats very often fills no cell and no worker.
+    """
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+    names = ["row", "doc_id", "text_key", "n_words", "token", "at", "first", "around"]
+
+    def out(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in portions(batch.column("text")):
                 w = Words(texts)
-                cands: list[list] = [[] for _ in texts]
+                n, sizes = len(texts), np.diff(w.bounds)
+                rows = batch.column("row").slice(part.start, n).to_numpy()
+                own = [batch.column(c).slice(part.start, n) for c in ("row", "doc_id", "text_key")]
+                nothing = [pa.nulls(n, t) for t in types[4:]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), *nothing], names=names)
                 for step in steps:
                     value, whole = w.shingles(step)
                     value = value.view(np.int64)
-                    for i in np.flatnonzero(whole & _found(value, known)).tolist():
-                        at = int(np.searchsorted(w.bounds, i, "right")) - 1
-                        a, b = int(w.bounds[at]), int(w.bounds[at + 1])
-                        first, last = max(a, i - window + step), min(b, i + window)
-                        cands[at].append({"token": int(value[i]), "at": i - a, "first": first - a, "around": w.text(first, last).split(" ")})
-                ids, keys = (batch.column(c).slice(part.start, part.stop - part.start) for c in ("doc_id", "text_key"))
-                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(np.diff(w.bounds)), pa.array(cands, kind)], names=["doc_id", "text_key", "n_words", "cands"])
+                    places = np.flatnonzero(whole & _found(value, known))
+                    widest = window if step == TOKEN_WORDS else step
+                    for k in range(0, len(places), BATCH_PLACES):
+                        here = places[k : k + BATCH_PLACES]
+                        at = np.searchsorted(w.bounds, here, "right") - 1
+                        begin, end = w.bounds[at], w.bounds[at + 1]
+                        first, last = np.maximum(begin, here - widest + step), np.minimum(end, here + widest)
+                        around = [w.text(x, y) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                        yield out([rows[at], [None] * len(here), [None] * len(here), sizes[at], value[here], here - begin, first - begin, around])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
-    return slim.mapInArrow(frugal(scan), "doc_id long, text_key long, n_words long, cands array<struct<token: long, at: int, first: int, around: array<string>>>")
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text"))
+    return slim.mapInArrow(frugal(scan), "row long, doc_id long, text_key long, n_words long, token long, at int, first int, around string")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, lookup_tokens: int = LOOKUP_TOKENS) -> DataFrame:
@@ -129,9 +148,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     ranked = placed.join(rarity, "token", "left").groupBy("body").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place", "size", "step")).alias("r"))
     prefix = stored(ranked.where("r.n > 0").select("body", "r.token", "r.place", "r.size", "r.step"), "prefix")
     used = sorted(r.step for r in prefix.select("step").distinct().collect())
-    found = candidates(docs, used, lookup(prefix, lookup_tokens), window).withColumn("_row", F.monotonically_increasing_id())
-    rows = stored(found, "candidates")
-    cand = rows.where(F.size("cands") > 0).select("_row", "n_words", F.explode("cands").alias("c")).select("_row", "n_words", "c.*")
+    scanned = stored(candidates(docs, used, lookup(prefix, lookup_tokens), window).withColumnRenamed("row", "_row"), "candidates")
+    rows, cand = scanned.where("token IS NULL"), scanned.where("token IS NOT NULL").select("_row", "n_words", "token", "at", "first", F.split("around", " ").alias("around"))
     start = F.col("at") - F.col("place")
     fits = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
     same = F.array_join(F.slice("around", start - F.col("first") + 1, F.col("size")), " ") == F.col("body")

@@ -64,3 +64,13 @@ def test_empty_tables(spark, frame):
     none = spark.createDataFrame([], "item_id long, text string")
     assert run(frame(["a b"]), none) == [(0, 2, 0, (), False)]
     assert run(frame([]), spark.createDataFrame([(1, "a")], "item_id long, text string")) == []
+
+
+def test_common_word_as_item_in_long_text(spark):
+    """A one-word item that a long text repeats 200,000 times: every word is hit, places leave the scan in batches."""
+    from marktrace.llm.decontaminate import contamination
+
+    docs = spark.createDataFrame([(1, "the cat " * 200_000), (2, "a dog"), (3, "thecat the")], "doc_id long, text string")
+    items = spark.createDataFrame([("w", "THE")], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in contamination(docs, items).collect()}
+    assert got == {1: (400_000, 200_000, ["w"]), 2: (2, 0, []), 3: (2, 1, ["w"])}
