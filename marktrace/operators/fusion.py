@@ -3,7 +3,7 @@
 Plan: identical reads are merged first (session, text, evidence group, variant), votes are counted per
 (session, position, character), and everything after that works on one row per (session, position) whose
 arrays are bounded by the alphabet. A session with very many reads is therefore reduced on the map side.
-The grammar is a small rule table; its size is checked before it is broadcast.
+The grammar is a small rule table.
 """
 
 from __future__ import annotations
@@ -148,19 +148,18 @@ def choose_positions(votes: DataFrame, keys: Sequence[str], rules: DataFrame, p:
     differs = F.col("chosen") != F.col("raw_char")
     corrected = differs & (~seen | (F.col("forced").isNotNull() & (F.col("forced") != F.col("raw_char"))))
     zero = F.lit(0).cast("long")
-    rival_seen = F.exists("cells", lambda c: (c.char != F.col("chosen")) & F.array_contains("allowed", c.char))
-    j = j.withColumn("_rival", rival_seen)
+    j = j.withColumn("_others", F.transform(F.filter("cells", lambda c: c.char != F.col("chosen")), lambda c: c.char))
     return j.select(
         *keys, "model", "pos", "raw_char", "chosen",
         F.col("_fits").alias("allowed"), prob.alias("prob"), F.greatest(F.lit(0.0), prob - second).alias("margin"),
         F.coalesce(cell.reads, zero).alias("support"), F.coalesce(cell.groups, zero).alias("groups"), F.coalesce(cell.variants, zero).alias("variants"),
-        corrected.alias("structure_corrected"), F.col("forced").isNotNull().alias("forced"), seen.alias("seen"), F.col("_rival").alias("rival_seen"),
+        corrected.alias("structure_corrected"), F.col("forced").isNotNull().alias("forced"), seen.alias("seen"), F.col("_others").alias("others"),
     )
 
 
 def score_models(decisions: DataFrame, totals: DataFrame, keys: Sequence[str], p: FusionParams) -> DataFrame:
     """Best model per session by (fully valid, score); an earlier model wins ties."""
-    d = F.struct("pos", "raw_char", "chosen", "allowed", "prob", "margin", "support", "groups", "variants", "structure_corrected", "forced", "seen", "rival_seen")
+    d = F.struct("pos", "raw_char", "chosen", "allowed", "prob", "margin", "support", "groups", "variants", "structure_corrected", "forced", "seen", "others")
     per = decisions.groupBy(*keys, "model").agg(F.array_sort(F.collect_list(d)).alias("decisions"))  # ``length`` entries
     per = per.withColumns(
         {
@@ -222,6 +221,10 @@ def fuse_reads(reads: DataFrame, rules: DataFrame, confusions: DataFrame, p: Fus
     best = best.withColumn("final_model", F.coalesce(labelled, "model"))
     grammar = table.groupBy(F.col("model").alias("_gm")).agg(F.collect_list(F.struct("pos", "allowed")).alias("_sets"))
     j = exact_evidence(cells, best, keys, grammar, p)
+    # the key position is judged by the grammar of the final model, which the prefix may have changed
+    by_model = table.filter(F.col("pos") == p.key).select(F.col("model").alias("_km"), F.col("allowed").alias("_key_set"))
+    j = j.join(by_model, j["final_model"] == by_model["_km"], "left").drop("_km")
+    j = j.withColumn("_key_set", F.coalesce("_key_set", F.array().cast("array<string>")))
 
     ds = F.col("decisions")
     lowest = lambda keep: F.coalesce(F.array_min(F.transform(F.filter(ds, keep), lambda x: x.margin)), F.lit(1.0))
@@ -261,10 +264,11 @@ def fuse_reads(reads: DataFrame, rules: DataFrame, confusions: DataFrame, p: Fus
     soft = F.array(*[F.lit(s) for s in SOFT])
     rescuable = (F.size("failed") > 0) & (F.size(F.array_except("failed", soft)) == 0)
     backed_exactly = (F.col("exact_mean_conf") >= p.rescue_conf) & ((F.col("exact_groups") >= 2) | (F.col("trusted_bases") >= 2)) & ~F.col("conflict")
-    rescue_a = rescuable & F.col("fully") & k.seen & ~k.rival_seen & backed_exactly
+    rival_seen = F.exists(k.others, lambda ch: F.array_contains("_key_set", ch))
+    rescue_a = rescuable & F.col("fully") & k.seen & ~rival_seen & backed_exactly
     in_list = F.contains(F.lit(p.rescue_raw), k.raw_char) if p.rescue_raw else F.lit(False)
     rescue_b = (
-        F.lit(p.rescue_b) & ~rescue_a & rescuable & F.array_contains("failed", "key_position") & F.col("fully") & structural & k.allowed & in_list
+        F.lit(p.rescue_b) & ~rescue_a & rescuable & F.array_contains("failed", "key_position") & F.col("fully") & structural & F.array_contains("_key_set", k.chosen) & in_list
         & (F.col("score") >= p.rescue_b_score) & (F.col("raw_support") >= p.rescue_b_support) & backed_exactly
     )
     j = j.withColumn("rescue", F.when(rescue_a, "DIRECT").when(rescue_b, "STRUCTURE"))

@@ -3,12 +3,14 @@ per order, seven-character identifiers from the order key with misreads per item
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from marktrace.functions.times import epoch_ms
 from marktrace.operators import disagreement as G
 from marktrace.operators import fusion as U
-from marktrace.operators.ordered import order_rows
+from marktrace.operators.fusion_twin import RESULT, fuse_groups
 from marktrace.registry.base import query, table
 
 c, lit = F.col, F.lit
@@ -21,9 +23,13 @@ PARAMS = U.FusionParams(
 CONFUSIONS = [("8", "B", 1), ("0", "D", 1), ("6", "B", 2), ("5", "E", 1), ("1", "7", 1)]
 
 
-def rule_table(spark):
+# the same with 17 positions, position 9 a digit
+LONG = replace(PARAMS, length=17, risky=(3, 4, 10), serial=(14, 15, 16, 17), final_score=0.6, rescue_b_score=0.6, rescue_b_support=0.6, rescue_conf=0.5)
+
+
+def rule_table(spark, length=7):
     digits, letters = "0123456789", "ABCDEF"
-    allowed = {1: digits, 2: "A", 3: digits + letters, 4: digits + letters, 5: letters, 6: digits + letters, 7: digits + letters}
+    allowed = {i: digits + letters for i in range(1, length + 1)} | {1: digits, 2: "A", 5: letters} | ({9: digits} if length > 9 else {})
     rows = [(m, p, ch) for m in ("ALPHA", "BETA") for p, cs in allowed.items() for ch in cs if not (m == "BETA" and p == 3 and ch in "AB")]
     return spark.createDataFrame(rows, "model string, pos int, allowed_char string")
 
@@ -32,11 +38,11 @@ def confusion_table(spark):
     return spark.createDataFrame(CONFUSIONS, "char string, alt string, rank int")
 
 
-def reads(spark, sf):
+def reads(spark, sf, length=7):
     h = F.upper(F.md5(c("l_orderkey").cast("string")))
-    base = F.concat((c("l_orderkey") % 4).cast("string"), lit("A"), F.substring(h, 3, 5))
+    base = F.concat((c("l_orderkey") % 4).cast("string"), lit("A"), F.substring(h, 3, length - 2))
     k = c("l_partkey")
-    text = F.when(k % 9 == 0, F.substring(base, 1, 6)).when(k % 4 == 0, F.translate(base, "B", "8")).when(k % 4 == 1, F.translate(base, "D", "0")).otherwise(F.lower(base))
+    text = F.when(k % 9 == 0, F.substring(base, 1, length - 1)).when(k % 4 == 0, F.translate(base, "B", "8")).when(k % 4 == 1, F.translate(base, "D", "0")).otherwise(F.lower(base))
     variant = F.element_at(F.array(lit("base"), lit("clear@2"), lit("relief"), lit("other")), (k % 4 + 1).cast("int"))
     return table(spark, sf, "lineitem").select(
         c("l_orderkey").alias("session_id"),
@@ -131,6 +137,21 @@ def w17(spark, sf):
     return f.select("session_id", "d.pos", "d.raw_char", "d.chosen", "d.allowed", F.round("d.margin", 6).alias("margin"), "d.support", "d.structure_corrected")
 
 
+@query("x4_fusion_twin", "SELECT DISTINCT l_orderkey AS session_id, true AS agrees FROM lineitem")
+def x4(spark, sf):
+    """Expressions and grouped function on whole identifiers of 17 positions: every field of every session."""
+    args = (reads(spark, sf, 17), rule_table(spark, 17), confusion_table(spark), LONG)
+    kinds = [f.split() for f in RESULT.split(", ")]
+    mine = U.fuse_reads(*args).select("session_id", F.struct(*[n for n, _ in kinds]).alias("a"))
+    both = mine.join(fuse_groups(*args).select("session_id", F.struct(*[n for n, _ in kinds]).alias("b")), "session_id", "full")
+    near = {"exact_mean_conf": 1.01e-3}
+    same = lambda n, t: F.abs(c(f"a.{n}") - c(f"b.{n}")) <= near.get(n, 1e-9) if t == "double" else c(f"a.{n}") == c(f"b.{n}")
+    agrees = F.lit(True)
+    for n, t in kinds:
+        agrees = agrees & ((c(f"a.{n}").isNull() & c(f"b.{n}").isNull()) | F.coalesce(same(n, t), lit(False)))
+    return both.select("session_id", agrees.alias("agrees"))
+
+
 @query("f15_second_pass")
 def f15(spark, sf):
     return U.unresolved(fused(spark, sf)).select("session_id", "status")

@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from dataclasses import replace
 
 import pytest
 
@@ -45,17 +46,18 @@ def test_gates(spark):
 
 
 def test_single_read_opt_in(spark):
-    from dataclasses import replace
-
     got = fuse(spark, reads_of("s", [(1, "raw", 1.0, GOOD)]), replace(PARAMS, single_read=True, single_score=0.8))
     assert got["s"].status == "ACCEPT"
 
 
 def test_direct_rescue(spark):
-    rows = reads_of("r", [(1, "raw", 0.95, GOOD), (2, "sharp", 0.95, GOOD), (3, "relief", 0.6, "KDTA8C1230"), (4, "relief", 0.9, "KDTAAC1230")])
-    got = fuse(spark, rows)["r"]
-    assert got.fused == GOOD and got.status in ("ACCEPT", "OCR_AMBIGUOUS")
-    assert (got.rescue is None) or got.reasons == []
+    """The key margin is thin, but nothing else allowed was read there and two groups read the text exactly."""
+    rows = reads_of("r", [(1, "raw", 0.97, GOOD), (2, "sharp", 0.97, GOOD), (3, "relief", 0.97, "KDTAXC1230"), (4, "other", 0.97, "KDTAYC1230"), (4, "more", 0.97, "KDTAZC1230")])
+    got = fuse(spark, rows, replace(PARAMS, key_margin=0.9, final_score=0.8))["r"]
+    assert (got.fused, got.status, got.rescue, list(got.reasons)) == (GOOD, "ACCEPT", "DIRECT", [])
+    # another allowed character at the key position forbids it
+    rival = fuse(spark, rows + reads_of("r", [(5, "last", 0.3, "KDTACC1230")]), replace(PARAMS, key_margin=0.9, final_score=0.8))["r"]
+    assert (rival.fused, rival.status, rival.rescue, list(rival.reasons)) == (GOOD, "OCR_AMBIGUOUS", None, ["key_position"])
 
 
 def twin_choice(texts):
@@ -125,3 +127,47 @@ def test_near_duplicates_greedy(spark, distance, task_edges):
     df = spark.createDataFrame(rows, "k int, i long, h long")
     got = near_duplicate_groups(df, ["k"], "h", "i", distance, task_edges).collect()
     assert {(r.k, r.i): r.representative for r in got} == want
+
+
+LONG = {i: LETTERS + DIGITS for i in range(1, 18)} | {1: "K", 2: "DE", 3: "T", 4: LETTERS, 5: "CD5", 9: DIGITS, 13: LETTERS} | {i: DIGITS for i in range(14, 18)}
+
+
+def long_session(rng, s):
+    """Reads of one 17-character text with misreads, more of them in some sessions and at the key position."""
+    truth = "".join(rng.choice(LONG[i]) for i in range(1, 18))
+    noise, rows = rng.choice([0.0, 0.02, 0.1]), []
+    for i in range(rng.randint(0, 9)):
+        text = "".join(rng.choice("0168BDTC5K") if rng.random() < (noise * 3 if k == 4 else noise) else ch for k, ch in enumerate(truth))
+        text = text[:-1] if rng.random() < 0.05 else text.lower() if rng.random() < 0.1 else text
+        group = rng.randint(1, 3)
+        rows.append((f"s{s}", i, group, group, rng.choice(["raw", "sharp", "raw@3", "relief", "sharp@-3"]), rng.choice([0.31, 0.57, 0.83, 0.915, 0.97]), text, rng.choice([0.4, 0.9, 1.0]), rng.choice([0.0, 0.8, 1.0])))
+    return rows or [(f"s{s}", 0, 1, 1, "raw", 0.9, "short", 1.0, 1.0)]
+
+
+def test_grouped_twin_equals_expressions(spark):
+    """10,000 random sessions of 17 positions: status, gates, both rescues and mean confidence by two implementations."""
+    from marktrace.operators.fusion_twin import RESULT, fuse_groups
+
+    rng = random.Random(29)
+    p = U.FusionParams(
+        models=("M1", "M2"), constants={1: "K", 3: "T"}, prefixes={"KD": "M1", "KE": "M2"}, prefix_width=2, trusted_variants=("raw", "sharp"), risky=(5, 10), serial=(14, 15, 16, 17), key=5,
+        suspects="08", rescue_raw="6", final_score=0.75, single_read=True, single_score=0.9, rescue_b_score=0.7, rescue_b_support=0.7, rescue_conf=0.5,
+    )
+    rows = [r for s in range(10_000) for r in long_session(rng, s)]
+    schema = "session_id string, read_seq int, crop_index int, evidence_group int, variant_name string, ocr_conf double, raw_text string, crop_quality double, variant_weight double"
+    reads = spark.createDataFrame(rows, schema).repartition(8)
+    rules = spark.createDataFrame([(m, i, ch) for m in ("M1", "M2") for i, cs in LONG.items() for ch in (cs if m == "M1" or i != 5 else "D56")], "model string, pos int, allowed_char string")
+    confusions = spark.createDataFrame([*CONF, ("6", "D", 2), ("5", "S", 1)], "char string, alt string, rank int")
+    names = [f.split()[0] for f in RESULT.split(", ")]
+    twin = {r.session_id: r for r in fuse_groups(reads, rules, confusions, p).collect()}
+    got = {r.session_id: r for r in U.fuse_reads(reads, rules, confusions, p).select("session_id", *names).collect()}
+    assert set(got) == set(twin) and len(got) == 10_000
+    for s, row in got.items():
+        for n in names:
+            a, b = row[n], twin[s][n]
+            # the mean confidence has three digits, and its sum is made in another order
+            assert a == pytest.approx(b, abs=1.01e-3 if n == "exact_mean_conf" else 1e-9) if isinstance(a, float) else a == b, (s, n, a, b)
+    kinds = {(r.status, r.rescue) for r in got.values()}
+    assert kinds >= {("ACCEPT", None), ("ACCEPT", "DIRECT"), ("ACCEPT", "STRUCTURE"), ("OCR_AMBIGUOUS", None), ("NO_READ", None)}
+    failing = {g for r in got.values() for g in r.reasons or []}
+    assert failing >= {"final_score", "crops_or_consensus", "structurally_valid", "risky_margin", "variable_margin", "serial_margin", "exact_conflict", "key_position"}
