@@ -203,6 +203,19 @@ def k13(spark, sf):
     return K.copy_checked(spark, M.backfill_session_keys(o, "o_orderkey"), path, "o_orderkey")
 
 
+@query(
+    "k13_damaged_copy",
+    """SELECT count(*) AS source_rows, count(*) FILTER (o_orderkey % 7 > 0) + count(*) FILTER (o_orderkey % 11 = 0) AS copy_rows,
+    count(*) FILTER ((o_orderkey % 7 = 0) <> (o_orderkey % 11 = 0) OR o_orderkey % 13 = 0) AS differing_keys, false AS intact FROM orders""",
+)
+def k13_damaged(spark, sf):
+    """A copy with rows lost, rows twice and rows whose contents changed is told from its source."""
+    k = c("o_orderkey")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    changed = o.withColumn("o_totalprice", c("o_totalprice") + F.when(k % 13 == 0, 1.0).otherwise(0.0))
+    return K.restore_report(o, changed.filter(k % 7 > 0).union(changed.filter(k % 11 == 0)), "o_orderkey")
+
+
 @query("m1_ensure_columns", "SELECT r_regionkey, r_name, NULL::DOUBLE AS confidence, NULL::VARCHAR AS reason, 'confidence,reason' AS added FROM region")
 def m1(spark, sf):
     from pyspark.sql.types import StructType

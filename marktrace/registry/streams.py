@@ -18,7 +18,9 @@ from marktrace.sources.readers import stream_files
 from marktrace.sources.sinks import last_per_key
 from marktrace.streaming import edges as SE
 from marktrace.streaming import sessions as SS
+from marktrace.streaming.ownership import map_state
 from marktrace.streaming.run import drain, drain_batches
+from marktrace.streaming.silence import drain_silence, stream_silence
 
 c, lit = F.col, F.lit
 
@@ -187,3 +189,14 @@ def k5_buckets(spark, sf):
     for epoch, part in enumerate([orders.filter(newer), orders.filter(~newer), orders.filter(~newer)]):
         held.apply(part, "orders", min(epoch, 1))
     return held.read().select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("st11_silent_feeds", "SELECT user_id, arg_max(epoch_us(ts) // 1000, (epoch_us(ts) // 1000, event_id)) AS last_ms, arg_max(event_id, (epoch_us(ts) // 1000, event_id)) AS last_event, count(*) AS events FROM events GROUP BY 1")
+def st11_silent(spark, sf):
+    """All events have come and none follows: every feed is reported by its own processing-time timer."""
+    root = scratch_path(spark, "st11-silent")
+    ev = table(spark, sf, "events").select("user_id", epoch_ms("ts").alias("at_ms"), "event_id")
+    ev.write.parquet(f"{root}/in")
+    feeds = ev.select("user_id").distinct().count()
+    with map_state(spark):
+        return drain_silence(stream_silence(stream_files(spark, f"{root}/in", ev.schema), ["user_id"], 1_000), root, feeds)

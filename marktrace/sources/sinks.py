@@ -106,13 +106,18 @@ def detector_labels(boxes: DataFrame, image: str) -> DataFrame:
 
 
 def restore_report(source: DataFrame, copy: DataFrame, key: str) -> DataFrame:
-    """Row counts and key sets of a copy against its source, before anything is published."""
-    a = source.select(F.col(key).alias("k"), F.lit(1).alias("s"), F.lit(0).alias("c"))
-    b = copy.select(F.col(key).alias("k"), F.lit(0).alias("s"), F.lit(1).alias("c"))
-    per = a.unionByName(b).groupBy("k").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    """Row counts, keys and contents of a copy against its source, before anything is published.
+
+    Contents are compared as the sum of row hashes per key, so rows may come in any order.
+    """
+    rows = F.xxhash64(*source.columns).cast("decimal(38,0)")
+    a = source.select(F.col(key).alias("k"), F.lit(1).alias("s"), F.lit(0).alias("c"), rows.alias("h"))
+    b = copy.select(F.col(key).alias("k"), F.lit(0).alias("s"), F.lit(1).alias("c"), (-rows).alias("h"))
+    per = a.unionByName(b).groupBy("k").agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.sum("h").alias("h"))
+    same = (F.col("s") == F.col("c")) & (F.col("h") == 0)
     return per.agg(
         F.coalesce(F.sum("s"), F.lit(0)).alias("source_rows"), F.coalesce(F.sum("c"), F.lit(0)).alias("copy_rows"),
-        F.count_if(F.col("s") != F.col("c")).alias("differing_keys"), F.coalesce(F.bool_and(F.col("s") == F.col("c")), F.lit(True)).alias("intact"),
+        F.count_if(~same).alias("differing_keys"), F.coalesce(F.bool_and(same), F.lit(True)).alias("intact"),
     )
 
 

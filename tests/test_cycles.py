@@ -96,3 +96,29 @@ def test_stream_equals_machine(spark, p):
         out = drain_slices([*cut, last], lambda s: stream_cycles(s.withWatermark("ts", "0 seconds"), ["station"], p), "cycles").collect()
     plain = lambda rows: sorted((tuple(r) for r in rows), key=repr)
     assert plain(out) == plain(want)
+
+
+def test_silence_is_told_by_the_clock(spark):
+    """One feed goes on while the other is silent: the silent one is told without any further event of it, each once."""
+    import threading
+    import time
+
+    from marktrace.session import scratch_path
+    from marktrace.streaming.silence import drain_silence, stream_silence
+
+    root = scratch_path(spark, "silence")
+    write = lambda n, feeds: spark.createDataFrame([(f, 1_000 * n, 10 * n + i) for i, f in enumerate(feeds)], "feed string, at_ms long, event_id long").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    write(0, ["a", "b"])
+
+    def go_on():
+        for n in range(1, 6):
+            time.sleep(1)
+            write(n, ["a"])
+
+    other = threading.Thread(target=go_on)
+    other.start()
+    with map_state(spark):
+        stream = stream_silence(spark.readStream.schema("feed string, at_ms long, event_id long").parquet(f"{root}/in"), ["feed"], 6_000)
+        told = {r.feed: (r.last_ms, r.last_event, r.events) for r in drain_silence(stream, root, 2, 90).collect()}
+    other.join()
+    assert told == {"a": (5_000, 50, 6), "b": (0, 1, 1)}
