@@ -16,6 +16,7 @@ from marktrace.session import scratch_path
 from marktrace.sources.buckets import BucketTable
 from marktrace.sources.readers import stream_files
 from marktrace.sources.sinks import last_per_key
+from marktrace.sources.tail import tail_lines
 from marktrace.streaming import edges as SE
 from marktrace.streaming import sessions as SS
 from marktrace.streaming.ownership import map_state
@@ -200,3 +201,17 @@ def st11_silent(spark, sf):
     feeds = ev.select("user_id").distinct().count()
     with map_state(spark):
         return drain_silence(stream_silence(stream_files(spark, f"{root}/in", ev.schema), ["user_id"], 1_000), root, feeds)
+
+
+@query("s14_tail_lines", "SELECT event_id, event_type, user_id FROM events")
+def s14_tail(spark, sf):
+    """Events as JSON lines that arrive in two steps; every line comes once, in stretches of at most 100 kB."""
+    root = scratch_path(spark, "s14-tail")
+    ev = table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    out = None
+    for i in range(2):
+        ev.filter(c("event_id") % 2 == i).select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(f"{root}/in")
+        s = tail_lines(spark, f"{root}/in", "*.txt", 0.0, 100_000).select(F.from_json("line", "event_id bigint, event_type string, user_id bigint").alias("r")).select("r.*")
+        s.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
+        out = s.schema
+    return spark.read.schema(out).parquet(f"{root}/out")
