@@ -190,10 +190,13 @@ def primary_or_fallback(primary: DataFrame, fallback: DataFrame, key: str, failu
     )
 
 
-def second_reader_assist(accepted: DataFrame, second: DataFrame, support: DataFrame, key: str, bonus: float = 0.03, enforce: bool = False, min_support: int = 1) -> DataFrame:
+def second_reader_assist(accepted: DataFrame, second: DataFrame, support: DataFrame, key: str, bonus: float = 0.03, enforce: bool = False, min_support: int = 1, shadow: bool = False, fallback: bool = True, support_required: bool = True) -> DataFrame:
     """Agreement raises the score, disagreement keeps or rejects, a failed first reader may be replaced
     by the second one when enough reads support it exactly.
 
+    ``enforce`` rejects on disagreement and replaces without support; ``support_required=False`` only the
+    latter; ``fallback=False`` never replaces; ``shadow`` tells the action but leaves text and score alone.
+
     accepted: key, status, text, score; second: key, second_text, second_avg, usable; support: key, exact_reads.
     """
     j = accepted.join(second, key, "left").join(support, key, "left")
@@ -201,7 +204,7 @@ def second_reader_assist(accepted: DataFrame, second: DataFrame, support: DataFr
     ok = F.col("status") == "ACCEPT"
     same = F.coalesce(F.col("second_text") == F.col("text"), F.lit(False))
     enough = F.coalesce(F.col("exact_reads"), F.lit(0)) >= min_support
-    replace = ~ok & has & (enough | F.lit(enforce))
+    replace = ~ok & has & F.lit(fallback) & (enough | F.lit(enforce or not support_required))
     action = (
         F.when(ok & same, "AGREE")
         .when(ok & has & F.lit(enforce), "REJECT")
@@ -214,6 +217,8 @@ def second_reader_assist(accepted: DataFrame, second: DataFrame, support: DataFr
         .when(replace, F.least(F.lit(0.99), F.greatest(F.lit(0.55), F.col("second_avg"))))
         .otherwise(F.col("score"))
     )
+    if shadow:
+        return j.select(key, action.alias("action"), F.col("text").alias("final_text"), F.col("score").alias("final_score"))
     return j.select(key, action.alias("action"), F.when(replace, F.col("second_text")).otherwise(F.col("text")).alias("final_text"), score.alias("final_score"))
 
 

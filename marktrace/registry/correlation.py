@@ -90,6 +90,13 @@ def j2(spark, sf):
     return J.strongest_tag(tag_hits(spark, sf), tag_windows(spark, sf), ["user_id"], "session_id", 24 * HOUR)
 
 
+@query("x6_tag_predicate", "WITH " + TAGS_SQL.replace("WHERE event_type = 'view')", "WHERE event_type = 'view' AND event_id % 5 <> 3 AND (event_id % 9 = 0 OR -value > -60))") + " SELECT user_id, session_id, epc, antenna, rssi, ts_ms FROM best WHERE rn = 1")
+def x6(spark, sf):
+    """Only tags that the user's predicate accepts are looked at."""
+    fine = (c("epc") != "T3") & (F.coalesce(c("rssi"), lit(-1.0)) > -60)
+    return J.strongest_tag(tag_hits(spark, sf), tag_windows(spark, sf), ["user_id"], "session_id", 24 * HOUR, accept=fine)
+
+
 @query("j3_stale_tags", f"WITH {TAGS_SQL} SELECT session_id, epc, CASE WHEN s + 250 + 43200000 - ts_ms > 21600000 THEN 'STALE_RFID_EVENT' END AS stale FROM best JOIN w USING (session_id) WHERE rn = 1")
 def j3(spark, sf):
     best = J.strongest_tag(tag_hits(spark, sf), tag_windows(spark, sf), ["user_id"], "session_id", 24 * HOUR)
@@ -190,11 +197,39 @@ def j12(spark, sf):
     (CASE WHEN ok AND st = o_orderstatus THEN least(1.0::DOUBLE, o_totalprice / 500000 + 0.03::DOUBLE) WHEN NOT ok AND usable AND n >= 1 THEN least(0.99::DOUBLE, greatest(0.55::DOUBLE, 1 - o_totalprice / 500000)) ELSE o_totalprice / 500000 END)::DOUBLE AS final_score FROM x""",
 )
 def j14(spark, sf):
+    return J.second_reader_assist(*second_reader_tables(spark, sf), "o_orderkey")
+
+
+def second_reader_tables(spark, sf):
     o, k = table(spark, sf, "orders"), c("o_orderkey")
     acc = o.select("o_orderkey", F.when(k % 2 == 0, "ACCEPT").otherwise("NO_READ").alias("status"), c("o_orderstatus").alias("text"), (c("o_totalprice") / 500000).alias("score"))
     sec = o.select("o_orderkey", F.when(k % 5 == 0, c("o_orderstatus")).otherwise("Z").alias("second_text"), (1 - c("o_totalprice") / 500000).alias("second_avg"), (k % 3 == 0).alias("usable"))
     sup = table(spark, sf, "lineitem").filter("l_quantity > 45").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count(lit(1)).alias("exact_reads"))
-    return J.second_reader_assist(acc, sec, sup, "o_orderkey")
+    return acc, sec, sup
+
+
+J14_SQL = """WITH s AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1), x AS (SELECT o.*, o_totalprice / 500000 AS sc, coalesce(n, 0) AS n, o_orderkey % 2 = 0 AS ok, o_orderkey % 3 = 0 AS usable, CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus ELSE 'Z' END AS st FROM orders o LEFT JOIN s ON l_orderkey = o_orderkey),
+    d AS (SELECT *, CASE WHEN ok AND st = o_orderstatus THEN 'AGREE' WHEN ok AND usable AND {enforce} THEN 'REJECT' WHEN ok THEN 'KEEP' WHEN usable AND {fallback} AND (n >= 1 OR {free}) THEN 'SECOND_ACCEPT' ELSE 'NONE' END AS action FROM x)
+    SELECT o_orderkey, action, CASE WHEN action = 'SECOND_ACCEPT' AND NOT {shadow} THEN st ELSE o_orderstatus END AS final_text,
+    (CASE WHEN {shadow} THEN sc WHEN action = 'AGREE' THEN least(1.0::DOUBLE, sc + 0.03::DOUBLE) WHEN action = 'SECOND_ACCEPT' THEN least(0.99::DOUBLE, greatest(0.55::DOUBLE, 1 - sc)) ELSE sc END)::DOUBLE AS final_score FROM d"""
+J14_MODES = {
+    "shadow": {"shadow": True},
+    "enforce": {"enforce": True},
+    "no_fallback": {"fallback": False},
+    "support_free": {"support_required": False},
+}
+
+
+def _j14_mode(name: str, given: dict) -> None:
+    told = {"enforce": given.get("enforce", False), "fallback": given.get("fallback", True), "free": given.get("enforce", False) or not given.get("support_required", True), "shadow": given.get("shadow", False)}
+
+    @query(f"j14_{name}", J14_SQL.format(**{k: str(v).lower() for k, v in told.items()}))
+    def run(spark, sf):
+        return J.second_reader_assist(*second_reader_tables(spark, sf), "o_orderkey", **given)
+
+
+for _name, _given in J14_MODES.items():
+    _j14_mode(_name, _given)
 
 
 @query(

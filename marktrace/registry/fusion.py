@@ -152,6 +152,17 @@ def x4(spark, sf):
     return both.select("session_id", agrees.alias("agrees"))
 
 
+@query(
+    "x3_rule_edits",
+    f"""WITH {CHOICE_SQL.replace("WHEN 5 THEN contains('ABCDEF', ", "WHEN 5 THEN contains('ABCDEF8', ")} SELECT session_id, fused, round(score + 1e-10, 8)::DOUBLE AS score FROM won""",
+)
+def x3(spark, sf):
+    """A rule added by the user: position 5 also takes an 8, so misread letters there are no longer moved."""
+    more = rule_table(spark).unionByName(spark.createDataFrame([(m, 5, "8") for m in ("ALPHA", "BETA")], "model string, pos int, allowed_char string"))
+    f = U.fuse_reads(reads(spark, sf), more, confusion_table(spark), PARAMS)
+    return f.filter("status <> 'NO_READ'").select("session_id", "fused", F.round(c("score") + 1e-10, 8).alias("score"))
+
+
 @query("f15_second_pass")
 def f15(spark, sf):
     return U.unresolved(fused(spark, sf)).select("session_id", "status")

@@ -483,6 +483,17 @@ def f5(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(r, ";").alias("reasons"))
 
 
+@query(
+    "x2_charset",
+    """SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split(upper(p_name), ''), lambda x: NOT contains('ABCDEFGHIJKLMN ', x)))), '') AS wide,
+    array_to_string(list_sort(list_distinct(list_filter(string_split(upper(p_name), ''), lambda x: NOT contains('OPQRSTUVWXYZ', x)))), '') AS narrow FROM part""",
+)
+def x2(spark, sf):
+    """Character sets of the user's own beside the built-in one."""
+    bad = lambda chars: F.regexp_extract(F.array_join(P.identifier_reasons(c("p_name"), lit(1.0), lit(1), P.IdentifierPolicy(0, chars)), ";"), "^charset_violation=(.*)$", 1)
+    return table(spark, sf, "part").select("p_partkey", bad("ABCDEFGHIJKLMN ").alias("wide"), bad("OPQRSTUVWXYZ").alias("narrow"))
+
+
 @query(
     "f6_plant_tag",
     f"""SELECT o_orderkey, coalesce(CASE WHEN regexp_full_match(t, '[0-9]+') THEN t::BIGINT BETWEEN 1000 AND 9999 END, false) OR coalesce(CASE WHEN regexp_full_match(n, '[0-9]+') THEN n::BIGINT BETWEEN 1000 AND 9999 END, false) AS ok FROM (

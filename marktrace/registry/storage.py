@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import struct
+import zlib
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marktrace.functions.times import epoch_ms
 from marktrace.registry.base import query, table
@@ -26,12 +31,9 @@ def s1(spark, sf):
 @query("s2_day_csv", "SELECT event_id, value, strftime(ts, '%Y%m%d') AS file_day FROM events")
 def s2(spark, sf):
     path = scratch_path(spark, "s2")
-    ev = table(spark, sf, "events").select("event_id", "value", F.date_format("ts", "yyyyMMdd").alias("day"))
-    ev.write.partitionBy("day").option("header", True).csv(path)
-    schema = ev.drop("day").schema
-    # day folders stand in for the day-stamped names a lander would write
-    df = spark.read.schema(schema).option("header", True).csv(f"{path}/day=*/*.csv")
-    return df.withColumn("file_day", F.regexp_extract(F.col("_metadata.file_path"), r"day=(\d+)", 1))
+    ev = table(spark, sf, "events").select("event_id", "value", F.concat(F.date_format("ts", "yyyyMMdd"), lit(".csv")).alias("events_day"))
+    ev.repartition("events_day").write.partitionBy("events_day").option("header", True).csv(path)
+    return R.read_day_csv(spark, path, "events", ev.drop("events_day").schema)
 
 
 @query("s3_tolerant_jsonl", "SELECT event_id, event_type, (SELECT count(*) FROM events WHERE event_id % 10 = 0) AS malformed FROM events WHERE event_id % 10 > 0")
@@ -44,14 +46,57 @@ def s3(spark, sf):
     return rows.crossJoin(F.broadcast(bad))  # ``bad`` is one count
 
 
-@query("s4_sidecars", "SELECT c_custkey AS item, c_name AS name FROM customer")
+@query("s4_sidecars", "SELECT s_suppkey AS item, s_name AS name FROM supplier WHERE s_suppkey % 10 > 0")
 def s4(spark, sf):
-    path = scratch_path(spark, "s4")
-    cu = table(spark, sf, "customer").select(c("c_custkey").alias("item"), c("c_name").alias("name"), (c("c_custkey") % 7).alias("grp"))
-    cu.write.partitionBy("grp").json(path)
-    schema = cu.select("item", "name").schema
-    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
-    return df.select("item", "name")
+    """One JSON document per folder, over several lines; some cannot be read."""
+    path, k = scratch_path(spark, "s4"), c("s_suppkey")
+    broken = F.when(k % 10 == 0, lit("{ \"item\": ")).otherwise(F.to_json(F.struct(k.alias("item"), c("s_name").alias("name")), {"pretty": "true"}))
+    table(spark, sf, "supplier").select(k.alias("folder"), broken.alias("value")).write.partitionBy("folder").text(path)
+    return R.read_sidecars(spark, path, T.StructType.fromDDL("item bigint, name string"), "*.txt").select("item", "name")
+
+
+def png(height: int, width: int, value: int) -> bytes:
+    """A grey picture of one value as PNG."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\x00" + bytes([value]) * width for _ in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def pictures(spark, sf):
+    """One picture per supplier, below folders; every tenth file is no picture, every seventh none by name."""
+    path = scratch_path(spark, "pictures")
+    folder = path.removeprefix("file://").removeprefix("file:")
+
+    def write(rows):
+        for r in rows:
+            os.makedirs(f"{folder}/{r.k % 3}", exist_ok=True)
+            with open(f"{folder}/{r.k % 3}/{r.k}.{'txt' if r.k % 7 == 0 else 'png'}", "wb") as f:
+                f.write(b"no picture" if r.k % 10 == 0 else png(2 + r.k % 5, 3 + r.k % 4, r.k % 256))
+
+    table(spark, sf, "supplier").select(c("s_suppkey").alias("k")).foreachPartition(write)
+    return path
+
+
+@query("s8_image_inventory", "SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 > 0")
+def s8(spark, sf):
+    files = R.file_inventory(spark, pictures(spark, sf), R.IMAGE_GLOB).filter("size > 0 AND mtime_ms > 0")
+    return files.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("s_suppkey"))
+
+
+@query("s9_read_images", "SELECT s_suppkey, CASE WHEN s_suppkey % 10 > 0 THEN (2 + s_suppkey % 5)::INTEGER END AS height, CASE WHEN s_suppkey % 10 > 0 THEN (3 + s_suppkey % 4)::INTEGER END AS width, s_suppkey % 10 > 0 AS readable FROM supplier WHERE s_suppkey % 7 > 0")
+def s9(spark, sf):
+    got = R.read_images(spark, pictures(spark, sf))
+    size = lambda n: F.when(c("readable"), c(n))
+    return got.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("s_suppkey"), size("height").alias("height"), size("width").alias("width"), "readable")
+
+
+@query("s15_settled_files", "SELECT DISTINCT p_partkey % 7 AS g FROM part WHERE p_partkey % 7 >= 2")
+def s15_settled(spark, sf):
+    """Files by age: the clock stands g seconds behind each folder's last change, and two seconds must have passed."""
+    path = scratch_path(spark, "s15")
+    table(spark, sf, "part").withColumn("g", c("p_partkey") % 7).write.partitionBy("g").parquet(path)
+    files = R.file_inventory(spark, path, "*.parquet").withColumn("g", F.regexp_extract("path", r"g=(\d)", 1).cast("long"))
+    return R.settled_only(files, "mtime_ms", c("mtime_ms") + c("g") * 1000).select("g").distinct()
 
 
 @query("s5_log_lines", "SELECT event_id::VARCHAR || ' ' || props AS msg, event_type AS source, epoch_us(date_trunc('second', ts)) // 1000 AS ts_ms FROM events WHERE event_id % 5 > 0")
@@ -133,6 +178,12 @@ def k4(spark, sf):
     return K.metrics_json(table(spark, sf, "orders").agg(F.count(lit(1)).alias("rows"), F.count_distinct("o_custkey").alias("customers")))
 
 
+@query("k4_metrics_markdown", "SELECT '# Orders' || chr(10) || chr(10) || '| metric | value |' || chr(10) || '|---|---|' || chr(10) || '| rows | ' || count(*) || ' |' || chr(10) || '| customers | ' || count(DISTINCT o_custkey) || ' |' || chr(10) AS markdown FROM orders")
+def k4_markdown(spark, sf):
+    text = K.metrics_markdown(table(spark, sf, "orders").agg(F.count(lit(1)).alias("rows"), F.count_distinct("o_custkey").alias("customers")), "Orders")
+    return spark.createDataFrame([(text,)], "markdown string")
+
+
 @query("k5_upsert", "SELECT c.c_custkey, CASE WHEN o.o_custkey IS NULL THEN 'PENDING' ELSE o.s END AS status FROM customer c LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s FROM orders GROUP BY 1) o ON c.c_custkey = o.o_custkey")
 def k5(spark, sf):
     target = table(spark, sf, "customer").select("c_custkey", lit("PENDING").alias("status"), lit(None).cast("timestamp_ntz").alias("at"), lit(-1).cast("long").alias("seq"))

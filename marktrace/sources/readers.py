@@ -34,12 +34,12 @@ def read_sessions(spark: SparkSession, path: str, schema: T.StructType, order: s
 
 
 def read_day_csv(spark: SparkSession, folder: str, stem: str, schema: T.StructType) -> DataFrame:
-    """All ``<stem>_<day>.csv`` files with the day taken from the file name."""
+    """All ``<stem>_<day>.csv`` files, or folders named so or ``<stem>_<name>=<day>.csv``, with the day taken from the name."""
     full = T.StructType([*schema.fields, T.StructField("file_day", T.StringType())])
 
     def read():
         df = spark.read.schema(schema).option("header", True).csv(f"{folder}/{stem}_*.csv")
-        return df.withColumn("file_day", F.regexp_extract(F.col("_metadata.file_name"), rf"{stem}_(.+)\.csv$", 1))
+        return df.withColumn("file_day", F.regexp_extract(F.col("_metadata.file_path"), rf"/{stem}_(?:\w+=)?([^/]+)\.csv(?:/|$)", 1))
 
     return _or_empty(spark, full, read)
 
