@@ -14,6 +14,7 @@ from marktrace.plans import curation as C
 from marktrace.plans import images as I
 from marktrace.plans import logs as L
 from marktrace.plans import timeline as T
+from marktrace.plans import variants as IV
 from marktrace.plans.observation import observation_report
 from marktrace.plans.retention import retention_plan
 from marktrace.registry.base import query, table
@@ -315,3 +316,23 @@ def h15(spark, sf):
 @query("x5_positions", "SELECT p_partkey, (i - 1)::INTEGER AS position, substr(p_name, i, 1) AS char FROM part, (SELECT unnest(range(1, 60)) AS i) WHERE i <= length(p_name)")
 def x5(spark, sf):
     return I.explode_positions(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name").drop("p_name")
+
+
+VARIANTS_SQL = """WITH d AS (SELECT doc_id, (octet_length(encode(text)) + 63) // 64 AS h FROM documents),
+    v AS (SELECT * FROM (VALUES (1, 'raw', 1.0, 0.0), (2, 'stretched', 0.9, 0.0), (3, 'inverted', 0.7, 0.0), (4, 'raw@-3', 0.9, -3.0), (5, 'stretched@-3', 0.81, -3.0), (6, 'raw@+3', 0.9, 3.0), (7, 'stretched@+3', 0.81, 3.0),
+      (8, 'raw@-6', 0.8, -6.0), (9, 'stretched@-6', 0.72, -6.0), (10, 'raw@+6', 0.8, 6.0), (11, 'stretched@+6', 0.72, 6.0)) x(turn, variant_name, weight, rotation)),
+    one AS (SELECT doc_id, doc_id % 50 AS session_id, turn, variant_name, weight::DOUBLE AS weight, rotation::DOUBLE AS rotation, h FROM d, v WHERE h > 0)"""
+
+
+def crop_variants(spark, sf):
+    return IV.image_variants(pixels(spark, sf).withColumn("session_id", c("doc_id") % 50), ["session_id", "doc_id"])
+
+
+@query("x5_image_variants", f"{VARIANTS_SQL} SELECT doc_id, variant_name, round(weight, 9) AS weight, rotation, h::INTEGER AS height, 64::INTEGER AS width, h * 64 AS n_bytes FROM one")
+def x5_variants(spark, sf):
+    return crop_variants(spark, sf).select("doc_id", "variant_name", F.round("weight", 9).alias("weight"), "rotation", "height", "width", F.octet_length("data").cast("long").alias("n_bytes"))
+
+
+@query("x5_capped_variants", f"{VARIANTS_SQL} SELECT session_id, doc_id, variant_name FROM one QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn, doc_id) <= 48")
+def x5_capped(spark, sf):
+    return IV.capped_variants(crop_variants(spark, sf).drop("data"), "session_id", "doc_id", 48).select("session_id", "doc_id", "variant_name")
