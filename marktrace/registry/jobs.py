@@ -154,7 +154,7 @@ def c22(spark, sf):
     "h5_observation_report",
     f"""WITH {EDGES_SQL}, w AS (SELECT *, CASE WHEN value = 1 THEN ts_ms - lag(ts_ms) OVER (PARTITION BY user_id, value ORDER BY ts_ms) END AS gap, lag(ts_ms) OVER (PARTITION BY user_id ORDER BY ts_ms, event_id) AS e0 FROM edges),
     l AS (SELECT value, row_number() OVER (ORDER BY value, event_id) AS rn, count(*) OVER () AS n FROM events)
-    SELECT (SELECT count(*) FROM edges WHERE value = 1) AS rising_total, (SELECT count(*) FROM edges WHERE value = 1) AS accepted, 0::BIGINT AS early,
+    SELECT (SELECT count(*) FROM edges WHERE value = 1) AS rising_total, (SELECT count(*) FROM edges WHERE value = 1 AND event_id % 5 > 0) AS accepted, (SELECT count(*) FROM edges WHERE value = 1 AND event_id % 5 = 0) AS early,
     (SELECT count(*) FROM w WHERE value = 0 AND NOT (ts_ms - e0 BETWEEN 43200000 AND 345600000)) AS invalid_pulse,
     (SELECT round(min(gap) / 1000.0, 2)::DOUBLE FROM w) AS min_interval_s, (SELECT round(median((gap / 1000.0)::DOUBLE), 2) FROM w WHERE gap IS NOT NULL) AS median_interval_s, (SELECT round(max(gap) / 1000.0, 2)::DOUBLE FROM w) AS max_interval_s,
     (SELECT count(*) FROM events WHERE event_type = 'error') AS suppressed, (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 > 0) AS missing_evidence,
@@ -164,7 +164,7 @@ def c22(spark, sf):
 )
 def h5(spark, sf):
     e = E.pulse_widths(E.debounce_edges(samples(spark, sf), ["user_id"], DEBOUNCE, tie="event_id"), DEBOUNCE).plain()
-    e = e.withColumn("decision", F.when(c("value") == 1, "ACCEPTED").otherwise(c("pulse_decision")))
+    e = e.withColumn("decision", F.when((c("value") == 1) & (c("event_id") % 5 == 0), "SUSPICIOUS_EARLY_TRIGGER").when(c("value") == 1, "ACCEPTED").otherwise(c("pulse_decision")))
     ev = table(spark, sf, "events")
     k = c("o_orderkey")
     s = table(spark, sf, "orders").select(

@@ -110,3 +110,12 @@ def test_exact_percentile_on_one_hot_key(spark, sliced):
     df = spark.range(1000).select(F.lit("e").alias("k"), ((F.col("id") * 37) % 1000).cast("double").alias("v"))
     r = latency_summary(df, ["k"], "v").first()
     assert (r.n, r.p50, r.p95) == (1000, 499.5, 949.0)
+
+
+def test_manifests_with_byte_order_mark(spark, tmp_path):
+    """Windows tools put a mark in front of the header; a split without file gives no rows."""
+    (tmp_path / "train.csv").write_bytes("\ufeffpath,label\na.png,K1\n".encode())
+    (tmp_path / "test.csv").write_bytes(b"path,label\nb.png,K2\n")
+    got = R.read_manifests(spark, str(tmp_path), ["train", "validation", "test"], StructType.fromDDL("path string, label string"))
+    assert sorted(map(tuple, got.collect())) == [("a.png", "K1", "train"), ("b.png", "K2", "test")]
+    assert sorted(got.filter("path = 'a.png'").select("label").first()) == ["K1"]
