@@ -11,6 +11,13 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 SLICED = ["w1_debounce_edges", "w4_trigger_acceptance", "w8_repeat_suppression", "w11_presence_segments", "w13_review_rank", "w15_retention_plan", "w5_ring_counts", "a31_rolling_mean", "a7_latency_p95", "j13_open_session_owner", "j1_result_verdicts", "w2_pulse_widths", "w9_throttle", "w12_failure_streaks", "w18_capture_wait", "w20_retry_admission", "w21_trigger_numbers", "a6_interval_summary", "a32_latency_percentiles", "h9_curation_queue", "h13_retention_plan"]
 
 
+# no statement can say these; the module that checks them against a second implementation
+UNSTATED = {
+    "h3_fuse_reads": "test_fusion", "a21_exact_evidence": "test_fusion", "f15_second_pass": "test_fusion",
+    "g1_image_features": "test_jobs", "g2_image_hashes": "test_jobs", "h7_review_dataset": "test_jobs",
+}
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
@@ -18,6 +25,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
+    # the corpus operators have their own tests beside their folder
+    assert name in SQL or name in UNSTATED or name.startswith("op") or name == "pipeline", "neither statement nor second implementation"
     ok, _, note = compare(spark, con, name, QUERIES[name], SQL.get(name), SF)
     assert ok, note
 
