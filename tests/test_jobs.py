@@ -119,3 +119,29 @@ def test_manifests_with_byte_order_mark(spark, tmp_path):
     got = R.read_manifests(spark, str(tmp_path), ["train", "validation", "test"], StructType.fromDDL("path string, label string"))
     assert sorted(map(tuple, got.collect())) == [("a.png", "K1", "train"), ("b.png", "K2", "test")]
     assert sorted(got.filter("path = 'a.png'").select("label").first()) == ["K1"]
+
+
+def test_review_dataset_ladders(spark):
+    """Image classes and priorities of random rows by the written ladders; names and splits are checked by statements."""
+    from marktrace.plans.curation import prepare_review_dataset
+
+    rng = np.random.default_rng(12)
+    pick = lambda *v: v[int(rng.integers(len(v)))]
+    name, rows, told = "KDTA5C12304567890", [], []
+    for i in range(400):
+        rows.append((f"/img/a/S{i}_{pick(name, 'short')}_20240101-1200.jpg", int(pick(70, 80, 200)), int(pick(17, 18, 60)), float(pick(50, 65, 120, 190, 200)), float(pick(7, 8, 15, 16, 21, 22, 24, 25, 60)), float(pick(11, 12, 34, 35, 79, 80, 200)), float(pick(0.1, 0.55, 0.56)), float(pick(0.12, 0.13)), float(pick(0.0, 0.025, 0.026, 0.08, 0.09))))
+        told.append((rows[-1][0], pick(name, "KDTA5C12304567891", "", "bad"), pick("ACCEPT", "NO_READ"), pick(name, "")))
+    images = spark.createDataFrame(rows, "path string, width int, height int, mean double, std double, blur double, dark_ratio double, bright_ratio double, saturated_ratio double")
+    out = prepare_review_dataset(images, spark.createDataFrame(told, "path string, ocr_suggested string, ocr_status string, ocr_raw_best string")).collect()
+    assert len(out) == 400 and {r.review_priority for r in out} == {1, 2, 3, 4, 5}
+    for r in out:
+        light = "glare" if r.saturated_ratio > 0.025 and r.bright_ratio > 0.12 else "dark" if r["mean"] < 65 else "bright" if r["mean"] > 190 else "low_contrast" if r.std < 22 else "normal"
+        if r.height < 18 or r.width < 80 or r.blur < 12 or r.std < 8:
+            grade = "reject"
+        elif r.blur < 35 or r.std < 16 or r.dark_ratio > 0.55 or r.saturated_ratio > 0.08:
+            grade = "poor"
+        else:
+            grade = "medium" if r.blur < 80 or r.std < 25 or light != "normal" else "good"
+        order = [not r.best_suggestion, r.ocr_status != "ACCEPT", bool(r.filename_guess) and r.filename_guess != r.ocr_suggested, grade in ("reject", "poor"), True]
+        assert (r.lighting, r.quality, r.review_priority) == (light, grade, order.index(True) + 1), r
+        assert r.agreement == ("yes" if r.filename_guess and r.filename_guess == r.ocr_suggested else "no")
