@@ -44,13 +44,15 @@ ALLOWED = ["SBRHC", "MLEAO", "ADULT", "LEGWB", "AEIOURB"]
 
 @query(
     "c4_compliance",
-    """WITH t AS (SELECT p_partkey, substr(upper(replace(p_name, ' ', '')), 1, 4 + (p_size % 2)) AS s FROM part),
-    f AS (SELECT p_partkey, s, i, contains(['SBRHC','MLEAO','ADULT','LEGWB','AEIOURB'][i], substr(s, i, 1)) AND substr(s, i, 1) <> '' AS ok FROM t, (SELECT unnest(range(1, 6)) AS i))
-    SELECT p_partkey, CASE WHEN length(s) = 5 THEN round(count(*) FILTER (ok) / 5.0, 6)::DOUBLE ELSE 0.0::DOUBLE END AS compliance, (length(s) = 5 AND bool_and(ok)) AS all_valid FROM f GROUP BY p_partkey, s""",
+    """WITH t AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) AS s, p_size % 2 = 1 AS fits FROM part),
+    f AS (SELECT p_partkey, s, fits, contains(['SBRHC','MLEAO','ADULT','LEGWB','AEIOURB'][(i - 1) % 5 + 1], substr(s, i, 1)) AS ok FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM t))
+    SELECT p_partkey, CASE WHEN fits THEN round(count(*) FILTER (ok) / length(s)::DOUBLE, 6) ELSE 0.0::DOUBLE END AS compliance, (fits AND bool_and(ok)) AS all_valid FROM f GROUP BY p_partkey, s, fits""",
 )
 def c4(spark, sf):
-    allowed = F.array(*[lit(a) for a in ALLOWED])
-    t = table(spark, sf, "part").select("p_partkey", F.substr(X.normalize(c("p_name")), lit(1), 4 + c("p_size") % 2).alias("s"))
+    """Whole names, under rules as long as the name, or one position longer."""
+    t = table(spark, sf, "part").select("p_partkey", X.normalize(c("p_name")).alias("s"), (c("p_size") % 2 == 0).cast("int").alias("more"))
+    rules = F.array(*[lit(a) for a in ALLOWED])
+    allowed = F.transform(F.sequence(lit(1), F.length("s") + c("more")), lambda i: F.element_at(rules, ((i - 1) % 5 + 1).cast("int")))
     return t.select("p_partkey", F.round(X.compliance(c("s"), allowed), 6).alias("compliance"), X.all_valid(c("s"), allowed).alias("all_valid"))
 
 
