@@ -155,14 +155,14 @@ def a16(spark, sf):
 @query(
     "a17_sequence_metrics",
     """WITH z AS (SELECT p_partkey, upper(p_name) AS t, CASE WHEN p_size % 3 = 0 THEN upper(p_name) ELSE upper(p_type || p_name) END AS p FROM part),
-    s AS (SELECT sum(CASE WHEN substr(t, i, 1) = substr(p, i, 1) AND substr(t, i, 1) <> '' THEN 1 ELSE 0 END) AS same FROM z, (SELECT unnest(range(1, 10)) AS i))
+    s AS (SELECT sum(CASE WHEN substr(t, i, 1) = substr(p, i, 1) AND substr(t, i, 1) <> '' THEN 1 ELSE 0 END) AS same FROM z, (SELECT unnest(range(1, 18)) AS i))
     SELECT count(*) AS n, round(avg((t = p)::INT), 6)::DOUBLE AS exact_rate, round(avg(regexp_matches(p, '^[A-Z]+$')::INT), 6)::DOUBLE AS valid_rate, round(avg(1 - levenshtein(t, p) / greatest(length(t), length(p), 1)), 6)::DOUBLE AS char_accuracy,
-    round((SELECT same FROM s) / (9 * count(*)), 6)::DOUBLE AS position_accuracy FROM z""",
+    round((SELECT same FROM s) / (17 * count(*)), 6)::DOUBLE AS position_accuracy FROM z""",
 )
 def a17(spark, sf):
     part = table(spark, sf, "part")
     p = F.when(c("p_size") % 3 == 0, F.upper("p_name")).otherwise(F.upper(F.concat("p_type", "p_name")))
-    return A.sequence_metrics(part.select(F.upper("p_name").alias("t"), p.alias("p")), "t", "p", "^[A-Z]+$", 9)
+    return A.sequence_metrics(part.select(F.upper("p_name").alias("t"), p.alias("p")), "t", "p", "^[A-Z]+$", 17)
 
 
 @query("a20_plurality", "WITH g AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS f FROM orders WHERE length(o_orderpriority) >= 6 GROUP BY 1, 2) SELECT o_custkey, arg_max(o_orderpriority, (n, -f)) AS plurality, max(n) AS votes FROM g GROUP BY 1")
